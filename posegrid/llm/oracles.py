@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH low AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, list_slice(w, i, i + least(len(w), 13) - 1) AS win
+  FROM item, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(i) WHERE len(w) > 0
+), pos AS (
+  SELECT doc_id, k, i AS p0, list_slice(w, i, i + k - 1) AS win
+  FROM low, (SELECT DISTINCT k FROM win) s, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k
+), hit AS (SELECT doc_id, item_id, p0, p.k FROM pos p JOIN win USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT p0 + j) AS n_hit FROM (SELECT DISTINCT doc_id, p0, k FROM hit) h, unnest(range(0, k)) AS t(j) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM low LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 OP2 = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -23,4 +44,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2, "op8_warc_revisits": OP8}
+    return {"op1_decontaminate": OP1, "op2_exact_dedup": OP2, "op8_warc_revisits": OP8}

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posegrid.llm import exact_dedup, warc
+from posegrid.llm import decontaminate, exact_dedup, warc
 from posegrid.llm._common import Scratch, read
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    out = decontaminate.contamination(docs, bench, Scratch(spark, "op1"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = Scratch(spark, "op2")
