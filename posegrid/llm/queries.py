@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posegrid.llm import decontaminate, exact_dedup, warc
+from posegrid.llm import decontaminate, exact_dedup, token_files, warc
 from posegrid.llm._common import Scratch, read
 
 
@@ -27,6 +27,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark, "op6")
+    path = scratch.path("tokens")
+    token_files.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.with_global_start(scratch.table(token_files.read(spark, path), "documents"))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     scratch = Scratch(spark, "op8")
