@@ -164,7 +164,7 @@ class PieceEncoder:
     is encoded as a whole. Pieces are remembered up to ``limit`` of them, then forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -181,7 +181,8 @@ class PieceEncoder:
     def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
-            ids = np.array(self.tok.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            (found,) = self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):  # a token of the vocabulary that holds a second space
                 self.known.update((p, self.whole(" " + p)) for p in part)
@@ -192,10 +193,12 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text, its ids as little-endian 32-bit integers."""
         cut = [t.split(" ") for t in texts]
-        new = set().union(*(c[1:] for c in cut))
+        pieces = set().union(*(c[1:] for c in cut))
+        new = pieces.difference(self.known)
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
-        self._learn([p for p in new if p not in self.known and p and not p[0].isspace() and not p[-1].isspace()])
+            new = pieces
+        self._learn([p for p in new if p and not p[0].isspace() and not p[-1].isspace()])
         out = []
         for text, c in zip(texts, cut, strict=True):
             try:
