@@ -156,15 +156,21 @@ def blocks(data) -> Iterator[Block]:
         at = block.end
 
 
+#: Pieces begin at these characters; a line feed is a piece of its own.
+CUTS = (" ", ",", ".", "\n")
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level tokenizer, each distinct piece of text once.
 
-    A text is cut before each single space. Byte-level pre-tokenisation never joins what stands on
-    both sides of such a cut unless white space meets white space there; a text with such a place
-    is encoded as a whole. Pieces are remembered up to ``limit`` of them, then forgotten.
+    A text is cut before spaces, commas, full stops and line feeds, and after line feeds.
+    Byte-level pre-tokenisation cuts there too, unless white space meets white space or a comma or
+    full stop follows something that is no letter or digit; a text with such a place is encoded as
+    a whole. Pieces are remembered up to ``limit`` of them; then those that came again just now are
+    kept and the others forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -176,39 +182,79 @@ class PieceEncoder:
         self.limit = limit
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
     def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            (found,) = self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+        spaced = [p for p in new if p[:1] == " " and not p[1:2].isspace()]
+        for i in range(0, len(spaced), 2000):
+            part = spaced[i : i + 2000]
+            (found,) = self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):  # a token of the vocabulary that holds a second space
-                self.known.update((p, self.whole(" " + p)) for p in part)
+            if len(starts) != len(part):  # not a token that opens with a space for each piece
+                self.known.update((p, self.whole(p)) for p in part)
                 continue
             raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
             self.known.update(zip(part, (raw[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)), strict=True))
+        other = [p for p in new if p not in self.known]
+        for i in range(0, len(other), 2000):
+            part = other[i : i + 2000]
+            found = self.tok.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((p, np.array(f.ids, "<u4").tobytes()) for p, f in zip(part, found, strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text, its ids as little-endian 32-bit integers."""
-        cut = [t.split(" ") for t in texts]
-        pieces = set().union(*(c[1:] for c in cut))
-        new = pieces.difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = pieces
-        self._learn([p for p in new if p and not p[0].isspace() and not p[-1].isspace()])
-        out = []
-        for text, c in zip(texts, cut, strict=True):
-            try:
-                rest = b"".join(map(self.known.__getitem__, c[1:]))
-                if c[0][-1:].isspace():
-                    raise KeyError
-                out.append((self.whole(c[0]) if c[0] else b"") + rest)
-            except KeyError:  # white space beside a space
-                out.append(self.whole(text))
-        return out
+    @staticmethod
+    def _kinds(pieces, start: int, stop: int | None) -> np.ndarray:
+        """Of each piece's first or last character: 1 white space, 2 comma or full stop, 4 letter or digit."""
+        import pyarrow.compute as pc
+
+        chars = pc.utf8_slice_codeunits(pieces, start, stop).dictionary_encode()
+        kinds = [1 * c.isspace() + 2 * (c in (",", ".")) + 4 * c.isalnum() for c in chars.dictionary.to_pylist()]
+        return np.array(kinds, np.int8)[chars.indices.to_numpy()]
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of an Arrow array, and where each text's ids end. Null is empty."""
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        marked = texts
+        for c in CUTS:
+            marked = pc.replace_substring(marked, c, "\0" + c + "\0" * (c == "\n"))
+        cut = pc.split_pattern(marked, "\0")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        pieces = cut.flatten().dictionary_encode()
+        codes, distinct = pieces.indices.to_numpy().astype(np.int64), pieces.dictionary.to_pylist()
+        known = self.known
+        new = [p for p in distinct if p not in known]
+        if len(known) + len(new) > self.limit:
+            self.known = known = {p: known[p] for p in distinct if p in known}
+        self._learn(new)
+        units = list(map(known.__getitem__, distinct))
+        size = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        begins, closes = self._kinds(pieces.dictionary, 0, 1), self._kinds(pieces.dictionary, -1, None)
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        there = np.flatnonzero(size[codes] > 0)  # an empty piece stands between two cuts at one place
+        x, y = there[:-1], there[1:]
+        same = owner[x] == owner[y]
+        left, right = closes[codes[x]], begins[codes[y]]
+        odd = same & (((left == 1) & (right == 1)) | ((right == 2) & (left != 4)))
+        bad = np.zeros(len(texts), bool)
+        bad[owner[y[odd]]] = True
+        bad |= pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        if bad.any():
+            # such a text is one unit: its first piece stands for all of it
+            codes[bad[owner]] = len(units)
+            which = np.flatnonzero(bad)
+            codes[bounds[which]] = len(units) + 1 + np.arange(len(which))
+            units = [*units, b"", *(self.whole(texts[int(i)].as_py()) for i in which)]
+            size = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(units), "<u4")
+        n = size[codes]
+        ends = np.cumsum(n)
+        at = np.repeat(start[codes] - ends + n, n)
+        at += np.arange(len(at))
+        return flat[at], ends[bounds[1:] - 1] if len(texts) else ends
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -221,20 +267,17 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def chunks(batches, text_bytes: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of about a megabyte from Arrow batches of (id, text)."""
+def chunks(batches, text_bytes: int = 4 << 20):
+    """Slices of Arrow batches of (id, text) with about ``text_bytes`` of text."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(batch.column(0), batch.column(1), strict=True):
-            text = t.as_py() or ""
-            ids.append(i.as_py())
-            texts.append(text)
-            size += len(text) + 50
-            if size >= text_bytes:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) + 50)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + text_bytes)))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def write(
@@ -249,25 +292,26 @@ def write(
     def run(batches):
         import pyarrow as pa
 
-        enc, tail = encoder(tokenizer), struct.pack("<I", end_id)
+        enc, tail = encoder(tokenizer), np.array([end_id])
+        kind = f"<u{width}"
         ids, parts, held = [], [], 0
 
         def close():
             return pa.RecordBatch.from_arrays([pa.array([pack_block(ids, parts, width)], pa.binary())], names=["block"])
 
-        for some, texts in chunks(batches):
-            for i, raw in zip(some, enc.encode(texts), strict=True):
+        for some in chunks(batches):
+            flat, ends = enc.encode(some.column(1))
+            if len(flat) and int(flat.max()) >> (8 * width):
+                raise ValueError(f"an id needs more than {width} bytes")
+            flat, before = flat.astype(kind), 0
+            for i, end in zip(some.column(0).to_pylist(), ends.tolist(), strict=True):
                 if ids and (held >= block_ids or (i is None) != (ids[-1] is None)):
                     yield close()
                     ids, parts, held = [], [], 0
-                part = np.frombuffer(raw + tail, "<u4")
-                if width == 2:
-                    if part.max() >= 65536:
-                        raise ValueError("an id needs 4 bytes")
-                    part = part.astype("<u2")
                 ids.append(i)
-                parts.append(part)
-                held += len(part)
+                parts.append(np.append(flat[before:end], tail.astype(kind)))
+                held += end - before + 1
+                before = end
         if ids:
             yield close()
 
