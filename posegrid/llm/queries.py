@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posegrid.llm import decontaminate, exact_dedup, token_files, warc
+from posegrid.llm import decontaminate, exact_dedup, near_dedup, token_files, warc
 from posegrid.llm._common import Scratch, read
 
 
@@ -46,6 +46,11 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return near_dedup.near_duplicates(docs, Scratch(spark, "op9"), size=2, threshold=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
