@@ -16,9 +16,9 @@ Steps, all on tables in the shared folder:
    every survivor whose ends are still in different components. So a member of a large group is
    read once or twice, not once for each partner.
 5. In large buckets with members of different components all pairs across components are still
-   due. They are compared in blocks of at most BLOCK x BLOCK signatures (never a bucket in one
-   task), by the same test; each member's likeliest partner is checked exactly, components are
-   renewed, and the round is done again with all survivors, until none is left.
+   due. They are compared in blocks of at most BLOCK x BLOCK members (never a bucket in one task),
+   each pair in the first band that it shares: a length bound, the same sequential test, then the
+   full sets. Only links that join two components leave a block.
 
 Two documents of similarity s share a band with probability 1 - (1 - s^rows)^bands: with the
 defaults a pair of exactly 0.8 is missed with probability 4e-6, and the test misses at most
@@ -49,7 +49,7 @@ from posegrid.llm.components import components
 BANDS, ROWS = 32, 5
 BATCH = 32
 SMALL = 8
-BLOCK = 1024
+BLOCK = 512
 MISS = 1e-6
 SEED = 20240229
 
@@ -202,9 +202,9 @@ def sketch(docs: DataFrame, scratch: Scratch, size: int, bands: int, rows: int)
     )
 
 
-def likely(pairs: DataFrame, sigs: DataFrame, limits: list[int], scratch: Scratch) -> DataFrame:
-    """(a, b, m) of the pairs that the sequential test leaves; m: matching hashes."""
-    side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
+def likely(pairs: DataFrame, sigs: DataFrame, limits: list[int], threshold: int, scratch: Scratch) -> DataFrame:
+    """(a, b, m) of the pairs that the length bound and the sequential test leave; m: matching hashes."""
+    side = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
 
     def run(batches):
         for p in batches:
@@ -219,7 +219,8 @@ def likely(pairs: DataFrame, sigs: DataFrame, limits: list[int], scratch: Scratc
                 left = left[m[left] >= least]
             yield pd.DataFrame({"a": p["a"].to_numpy()[left], "b": p["b"].to_numpy()[left], "m": m[left]})
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")
+    bound = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(bound).select("a", "b", "sig_a", "sig_b")
     return scratch.table(both.mapInPandas(run, "a long, b long, m long"), "likely")
 
 
@@ -244,10 +245,11 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int, scra
     return scratch.table(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"), "verified")
 
 
-def block_pairs(members: DataFrame, limits: list[int], every: bool) -> DataFrame:
-    """(a, b, m): likely pairs across components in large buckets, compared block by block.
+def block_links(members: DataFrame, limits: list[int], threshold: int) -> DataFrame:
+    """(a, b): links that join components in large buckets, compared block by block.
 
-    ``members``: key, n, id, root, sig. Without ``every``, for each document of a block only its likeliest partner.
+    ``members``: key, n, id, root, sig, keys, set. A pair is compared in the first band that it
+    shares; likelier pairs come first, and a pair whose ends a block has joined already is skipped.
     """
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -256,32 +258,70 @@ def block_pairs(members: DataFrame, limits: list[int], every: bool) -> DataFrame
     placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = p["lo"].iloc[0], p["hi"].iloc[0]
-        x = p[p["own"] == lo]
-        y = p[p["own"] == hi]
-        sx = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(len(x), -1)
-        sy = np.frombuffer(b"".join(y["sig"]), np.uint8).reshape(len(y), -1)
-        ix, iy = x["id"].to_numpy(), y["id"].to_numpy()
-        rx, ry = x["root"].to_numpy(), y["root"].to_numpy()
+        key, lo, hi = p["key"].iloc[0], p["lo"].iloc[0], p["hi"].iloc[0]
+        x, y = (p[p["own"] == k].sort_values("id") for k in (lo, hi))
+        table = lambda f, c, kind: np.frombuffer(b"".join(f[c]), kind).reshape(len(f), -1)
+        sx, sy = table(x, "sig", np.uint8), table(y, "sig", np.uint8)
+        kx, ky = (np.array(f["keys"].tolist(), np.int64).reshape(len(f), -1) for f in (x, y))
+        ix, iy, rx, ry = x["id"].to_numpy(), y["id"].to_numpy(), x["root"].to_numpy(), y["root"].to_numpy()
+        nx, ny = (f["set"].map(len).to_numpy() for f in (x, y))
         found = []
         for at in range(0, len(x), 64):
             part = slice(at, at + 64)
-            i, j = np.nonzero(rx[part, None] != ry[None, :])
+            near = 100 * np.minimum(nx[part, None], ny) >= threshold * np.maximum(nx[part, None], ny)
+            i, j = np.nonzero((rx[part, None] != ry[None, :]) & near)
+            i = i + at
             if lo == hi:
-                i, j = i[ix[part][i] < iy[j]], j[ix[part][i] < iy[j]]
+                i, j = i[ix[i] < iy[j]], j[ix[i] < iy[j]]
             m = np.zeros(len(i), np.int64)
             for k, least in enumerate(limits):
                 cols = slice(k * BATCH, (k + 1) * BATCH)
-                m += (sx[part][i, cols] == sy[j, cols]).sum(1)
+                m += (sx[i, cols] == sy[j, cols]).sum(1)
                 i, j, m = i[m >= least], j[m >= least], m[m >= least]
-            a, b = ix[part][i], iy[j]
-            found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "m": m}))
-        out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "m": []})
-        if not every:
-            out = out.sort_values(["b", "m", "a"], ascending=[True, False, True]).drop_duplicates("b")
-        return out.astype("int64")
+            if len(i):
+                first = kx[i][np.arange(len(i)), (kx[i] == ky[j]).argmax(1)] == key
+                found.append(np.stack([m[first], i[first], j[first]]))
+        links, up, sets = [], {}, {}
+
+        def root(r):
+            while up.get(r, r) != r:
+                r = up[r]
+            return r
+
+        def shingled(f, k, side):
+            if (side, k) not in sets:
+                sets[side, k] = set(np.frombuffer(f["set"].iat[k], np.uint64).tolist())
+            return sets[side, k]
+
+        if found:
+            m, i, j = np.concatenate(found, axis=1)
+            order = np.argsort(-m, kind="stable")
+            for i, j in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                r, t = root(rx[i]), root(ry[j])
+                if r != t:
+                    one, two = shingled(x, i, 0), shingled(y, j, 1)
+                    both = len(one & two)
+                    if 100 * both >= threshold * (len(one) + len(two) - both):
+                        up[max(r, t)] = min(r, t)
+                        links.append((min(ix[i], iy[j]), max(ix[i], iy[j])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+
+
+def shingle_table(texts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """(id, set): the sorted shingle hashes of each text."""
 
-    return placed.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long, m long").groupBy("a", "b").agg(F.max("m").alias("m"))
+    def run(batches):
+        import pyarrow as pa
+
+        hasher = Hasher(size, 1, 1)
+        for batch in batches:
+            for ids, t in zip(batch.column(0), batch.column(1), strict=True):
+                (found,) = hasher.shingle_sets([(t.as_py() or "").encode("utf-8", "surrogatepass")])
+                yield pa.RecordBatch.from_arrays([pa.array([ids.as_py()], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["id", "set"])
+
+    return scratch.table(texts.select("id", "text").mapInArrow(run, "id long, set binary"), "sets")
 
 
 def near_duplicates(
@@ -304,8 +344,8 @@ def near_duplicates(
     reps = full.join(bounded(member.where("id <> rep").select("id")), "id", "left_anti")
     if full.count() > full.select("id").distinct().count():  # repeated ids
         reps = reps.dropDuplicates(["id"])
-    reps = scratch.table(reps.select("id", "sig", "keys"), "reps")
-    sigs = reps.select("id", "sig")
+    reps = scratch.table(reps.select("id", "n", "sig", "keys"), "reps")
+    sigs = reps.select("id", "n", "sig")
 
     banded = reps.select("id", F.explode("keys").alias("key"))
     buckets = scratch.table(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1"), "buckets")
@@ -316,7 +356,7 @@ def near_duplicates(
     two = few.select(F.explode(F.expr("slice(ids, 2, size(ids))")).alias("a"), "ids")
     two = two.select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
     pairs = scratch.table(star.unionByName(two).distinct(), "pairs")
-    left = likely(pairs, sigs, limits, scratch)
+    left = likely(pairs, sigs, limits, threshold, scratch)
 
     involved = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = scratch.table(texts_of(docs, involved), "texts")
@@ -326,22 +366,14 @@ def near_duplicates(
     if rest.limit(1).count():
         labels = components(verified(rest, texts, size, threshold, scratch), scratch, labels)
 
-    large = inside.where(F.col("n") > small).select("key", "n", "id")
-    every, tried = False, left.select("a", "b")
-    while large.limit(1).count():
-        named = with_roots(large, labels)
-        mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        # buckets of one component are done
-        large = scratch.table(named.join(bounded(mixed), "key").select("key", "n", "id", "root"), "mixed")
-        found = block_pairs(large.join(sigs, "id"), limits, every)
-        found = scratch.table(found.join(tried, ["a", "b"], "left_anti"), "found")
-        tried = tried.unionByName(found.select("a", "b"))
-        if found.limit(1).count():
-            more = scratch.table(texts_of(docs, found.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
-            labels = components(verified(found.select("a", "b"), more, size, threshold, scratch), scratch, labels)
-        if every:
-            break
-        large, every = large.select("key", "n", "id"), True
+    large = with_roots(inside.where(F.col("n") > small).select("key", "n", "id"), labels)
+    mixed = large.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    # buckets of one component are done
+    large = scratch.table(large.join(bounded(mixed), "key").select("key", "n", "id", "root"), "mixed")
+    if large.limit(1).count():
+        whole = shingle_table(texts_of(docs, large.select("id").distinct()), size, scratch)
+        due = large.join(reps.select("id", "sig", "keys"), "id").join(whole, "id")
+        labels = components(scratch.table(block_links(due, limits, threshold), "links"), scratch, labels)
 
     # classes: members have the root of their representative
     roots = member.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
