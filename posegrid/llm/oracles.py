@@ -33,6 +33,58 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP4 = r"""
+WITH u AS (SELECT conv_id, turn, text, 'c' || conv_id || '-' || turn AS call_id,
+    CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS ref FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+j AS (
+  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, u.turn AS turn, coalesce(u.call_id, a.call_id) AS call_id, a.turn AS result_turn,
+    u.text AS question, a.text AS content, u.call_id IS NOT NULL AS called, a.call_id IS NOT NULL AS answered, u.ref AS ref,
+    u.ref IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u v WHERE v.conv_id = u.conv_id AND v.call_id = u.ref) AS lost
+  FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.call_id = a.call_id
+)
+SELECT conv_id, turn, CASE WHEN called THEN 0 END AS place, call_id, CASE WHEN called THEN 'answer' END AS name,
+  CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status, result_turn, 0 AS epoch, false AS cyclic,
+  called AND NOT lost AS valid, CASE WHEN called AND lost THEN 'no call ' || ref ELSE '' END AS errors,
+  called::BIGINT AS n_calls, answered::BIGINT AS n_results,
+  '{"arguments":' || CASE WHEN NOT called THEN 'null' ELSE '{' || CASE WHEN ref IS NULL THEN '' ELSE '"after":"${' || ref || '}",' END
+    || '"n_chars":' || length(question) || ',"text":' || to_json(question)::VARCHAR || '}' END
+    || ',"call":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN called THEN '"answer"' ELSE 'null' END
+    || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null')
+    || ',"status":"' || CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END || '"}' AS record
+FROM j
+"""
+
+OP7 = r"""
+WITH p AS (
+  SELECT DISTINCT page_id, url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) AS path,
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((page_id * 37) % 8760 AS INTEGER)) AS fetched
+  FROM pages
+), h AS (SELECT DISTINCT host FROM p WHERE host <> ''),
+d AS (SELECT DISTINCT array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS host FROM h),
+n AS (SELECT *, [('0x' || substr(md5(host), 1, 4))::INT, ('0x' || substr(md5(host), 5, 4))::INT, ('0x' || substr(md5(host), 17, 4))::INT] AS v FROM h),
+m AS (SELECT *, [('0x' || substr(md5(host), 9, 4))::INT, ('0x' || substr(md5(host), 13, 4))::INT] AS v FROM d),
+e AS (
+  SELECT host AS key, 3 AS rank, v[2] % 200 AS days FROM n WHERE v[1] % 3 = 0
+  UNION ALL SELECT host, 1, v[2] % 200 + 60 FROM n WHERE v[1] % 3 = 0
+  UNION ALL SELECT host, 3, v[2] % 200 + 150 FROM n WHERE v[1] % 3 = 0
+  UNION ALL SELECT host, 3, v[2] % 300 FROM m WHERE v[1] % 10 = 0
+  UNION ALL SELECT host || '/en', 2, v[3] % 250 FROM n WHERE v[1] % 3 = 0
+), g AS (SELECT key, TIMESTAMP '2024-01-01 00:00:00' + to_days(days) AS since, max(rank) AS rank FROM e GROUP BY ALL),
+s AS (SELECT *, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM g),
+j AS (
+  SELECT page_id, url, fetched, host, key, rank, since,
+    row_number() OVER (PARTITION BY page_id, url, fetched ORDER BY CASE WHEN instr(key, '/') > 0 THEN length(key) - instr(key, '/') + 1 ELSE 0 END DESC, length(key) DESC) AS r
+  FROM p JOIN s ON rank > 1 AND since <= fetched AND (until IS NULL OR fetched < until) AND (
+    host = key OR host LIKE '%.' || key
+    OR (instr(key, '/') > 0 AND (host = split_part(key, '/', 1) OR host LIKE '%.' || split_part(key, '/', 1)) AND split_part(path, '/', 2) = split_part(key, '/', 2)))
+)
+SELECT p.page_id, p.url, p.host, strftime(p.fetched, '%Y-%m-%d %H:%M:%S') AS fetched, coalesce(j.rank = 3, false) AS blocked, j.key AS rule,
+  strftime(j.since, '%Y-%m-%d %H:%M:%S') AS rule_since
+FROM p LEFT JOIN (SELECT * FROM j WHERE r = 1) j ON p.page_id IS NOT DISTINCT FROM j.page_id AND p.url IS NOT DISTINCT FROM j.url
+"""
+
 OP8 = r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
@@ -44,4 +96,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_exact_dedup": OP2, "op8_warc_revisits": OP8}
+    return {"op1_decontaminate": OP1, "op2_exact_dedup": OP2, "op4_tool_calls": OP4, "op7_url_lists": OP7, "op8_warc_revisits": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posegrid.llm import decontaminate, exact_dedup, near_dedup, quality, token_files, toxicity, warc
+from posegrid.llm import chat_tools, decontaminate, exact_dedup, near_dedup, packing, quality, token_files, toxicity, url_lists, warc
 from posegrid.llm._common import Scratch, read
 
 
@@ -35,6 +35,36 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: The tool that op4 takes each user turn for.
+TOOLS = [("answer", [("text", "string", True), ("n_chars", "integer", True), ("after", "string", False)])]
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations as tool calls: a user turn calls ``answer``, the turn after it is the result.
+
+    Each call names the user turn before its last answer; so the tables' plain chats have
+    identifiers to join, arguments to validate and references to order.
+    """
+    call = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
+    after = F.when(F.col("turn") >= 2, F.concat(F.lit("${"), call(F.col("turn") - 2), F.lit("}")))
+    arguments = F.struct(F.col("text").alias("text"), F.length("text").alias("n_chars"), after.alias("after"))
+    asked = F.to_json(F.struct(F.array(F.struct(call(F.col("turn")).alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
+    told = F.to_json(F.struct(call(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    return conversations.select(
+        "conv_id", "turn", F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", told).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = spark.createDataFrame(TOOLS, "tool string, params array<struct<name: string, type: string, required: boolean>>")
+    return chat_tools.link(tool_messages(read(spark, sf_dir, "conversations")), tools, Scratch(spark, "op4"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +75,39 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_global_start(scratch.table(token_files.read(spark, path), "documents"))
 
 
+#: Captures are fetched, and list entries dated, within this year.
+YEAR = "2024-01-01 00:00:00"
+
+
+def list_of(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of the pages: a rule on each name's MD5 says what is listed when.
+
+    Some hosts are blocked and dropped again, some registered domains blocked, some paths allowed.
+    """
+    day = lambda key, at: F.conv(F.substring(F.md5(key), at, 4), 16, 10).cast("int")
+    since = lambda days: F.expr(f"timestamp_ntz '{YEAR}'").cast("timestamp") + F.make_interval(days=days)
+    host = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    entry = lambda rows, key, action, days: rows.select(key.alias("pattern"), F.lit(action).alias("action"), since(days).alias("since"))
+    h, d = F.col("host"), F.substring_index("host", ".", -3)
+    domain = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host <> ''").select(d.alias("host")).distinct()
+    bad = host.where(day(h, 1) % 3 == 0)
+    return (
+        entry(bad, h, "block", day(h, 5) % 200)
+        .unionByName(entry(bad, h, "drop", day(h, 5) % 200 + 60))
+        .unionByName(entry(bad, h, "block", day(h, 5) % 200 + 150))
+        .unionByName(entry(domain.where(day(h, 9) % 10 == 0), h, "block", day(h, 13) % 300))
+        .unionByName(entry(bad, F.concat(h, F.lit("/en")), "allow", day(h, 17) % 250))
+    )
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.expr(f"timestamp_ntz '{YEAR}'").cast("timestamp") + F.make_interval(hours=F.pmod(F.col("page_id") * 37, F.lit(8760)).cast("int"))
+    out = url_lists.judge(pages.withColumn("fetched", fetched), list_of(pages), Scratch(spark, "op7"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("page_id", "url", "host", stamp("fetched"), "blocked", "rule", stamp("rule_since"))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     scratch = Scratch(spark, "op8")
