@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posegrid.functions import names
@@ -87,6 +87,27 @@ class Skeleton:
         unit[..., 0] = 1
         return walk(self.parents, unit, self.offsets[None])[1][0]
 
+    def height(self, up: int) -> float:
+        """As ``hierarchy.skeleton_height`` for a skeleton that the driver holds already."""
+        at = self.rest()
+
+        def chain(j: int) -> float:
+            return 0.0 if self.parents[j] < 0 else float(np.linalg.norm(self.offsets[j])) + chain(self.parents[j])
+
+        of = {meaning: j for j, meaning in enumerate(self.plain_meanings())}  # the last of equal ones
+        feet = [chain(of[f]) for f in ("left_foot", "right_foot") if f in of]
+        human = chain(of["head"]) + float(np.mean(feet)) if feet and "head" in of else 0.0
+        extent = float(np.ptp(at[:, up]))
+        return next((v for v in (human, extent) if v > 1e-8), float(np.linalg.norm(at - at[0], axis=1).max()))
+
+    def plain_meanings(self) -> list[str]:
+        """Meanings of the names alone; collars change nothing here."""
+        out = []
+        for n in self.names:
+            p = _plain(n).removeprefix(names.NAMESPACE)
+            out.append("spine" if p.startswith("spine") else f"twist:{p}" if "twist" in p else names.ALIASES.get(p, p))
+        return out
+
     def basis(self, joint: int, up: int) -> np.ndarray:
         """The rest frame of a joint: along its bone, and across it by the first usable hint."""
         at = self.rest()
@@ -172,10 +193,8 @@ class Profile:
         return out
 
 
-def build_profile(spark: SparkSession, source: DataFrame, target: DataFrame, up: str = "y") -> Profile:
+def build_profile(source: DataFrame, target: DataFrame, up: str = "y") -> Profile:
     """Pairs, basis changes and the ratio of heights. Equal plain names share their rest frame."""
-    from posegrid.operators.hierarchy import skeleton_height
-
     a, b = Skeleton.of(source), Skeleton.of(target)
     pairs = {}
     for r in mapping(source, target).orderBy("target").collect():  # one skeleton's joints
@@ -185,8 +204,7 @@ def build_profile(spark: SparkSession, source: DataFrame, target: DataFrame, up:
         else:
             q = matrix_quaternion(b.basis(t, UP[up]) @ a.basis(s, UP[up]).T)
         pairs[t] = (s, q, r["method"])
-    scale = skeleton_height(spark, target, up).first()[0] / skeleton_height(spark, source, up).first()[0]
-    return Profile(a, b, pairs, scale, UP[up])
+    return Profile(a, b, pairs, b.height(UP[up]) / a.height(UP[up]), UP[up])
 
 
 def _plain(name: str) -> str:

@@ -207,7 +207,7 @@ def jon9(spark, sf):
 
 
 def profile(spark):
-    return R.build_profile(spark, skeleton(spark, TOY), skeleton(spark, ENGINE))
+    return R.build_profile(skeleton(spark, TOY), skeleton(spark, ENGINE))
 
 
 def _arrays(joints):

@@ -193,10 +193,11 @@ def test_mapping_of_collars(spark):
 
 
 def test_profile_and_matrix_form(spark):
-    p = retarget.build_profile(spark, skeleton(spark, TOY), skeleton(spark, ENGINE))
+    p = retarget.build_profile(skeleton(spark, TOY), skeleton(spark, ENGINE))
     assert len(p.pairs) == 17 and not p.problems()
     # the engine's chains end at its root, below the pelvis
     toy = 1 + 1.5 + 2.5**0.5 + 1 + (1.25**0.5 + 4 + 16.25**0.5)
+    assert abs(p.source.height(1) - hierarchy.skeleton_height(spark, skeleton(spark, TOY)).first()[0]) < 1e-9
     assert abs(p.scale - (1.2 * toy + 2 * 10.8) / toy) < 1e-9
     q = unit(np.random.default_rng(3), 5 * 16).reshape(5, 16, 4)
     t = np.repeat(p.source.offsets[None], 5, 0)
