@@ -170,37 +170,40 @@ class PieceEncoder:
     kept and the others forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000, width: int = 4):
         from tokenizers import Tokenizer
 
+        self.width, self.kind = width, f"<u{width}"
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         for word, i in vocab.items():
             self.opens[i] = word.startswith("Ġ")  # the byte-level sign of a space
+        if (len(self.opens) - 1) >> (8 * width):
+            raise ValueError(f"the vocabulary's ids need more than {width} bytes")
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes() if text else b""
 
     def _learn(self, new: list[str]) -> None:
         spaced = [p for p in new if p[:1] == " " and not p[1:2].isspace()]
         for i in range(0, len(spaced), 2000):
             part = spaced[i : i + 2000]
             (found,) = self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
+            ids, size = np.array(found.ids, self.kind), self.width
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):  # not a token that opens with a space for each piece
                 self.known.update((p, self.whole(p)) for p in part)
                 continue
-            raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-            self.known.update(zip(part, (raw[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)), strict=True))
+            raw, ends = ids.tobytes(), [*(starts[1:] * size).tolist(), len(ids) * size]
+            self.known.update(zip(part, (raw[a:b] for a, b in zip((starts * size).tolist(), ends, strict=True)), strict=True))
         other = [p for p in new if p not in self.known]
         for i in range(0, len(other), 2000):
             part = other[i : i + 2000]
             found = self.tok.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((p, np.array(f.ids, "<u4").tobytes()) for p, f in zip(part, found, strict=True))
+            self.known.update((p, np.array(f.ids, self.kind).tobytes()) for p, f in zip(part, found, strict=True))
 
     @staticmethod
     def _kinds(pieces, start: int, stop: int | None) -> np.ndarray:
@@ -220,54 +223,64 @@ class PieceEncoder:
         for c in CUTS:
             marked = pc.replace_substring(marked, c, "\0" + c + "\0" * (c == "\n"))
         cut = pc.split_pattern(marked, "\0")
-        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds = cut.offsets.to_numpy()
         bounds = bounds - bounds[0]
         pieces = cut.flatten().dictionary_encode()
-        codes, distinct = pieces.indices.to_numpy().astype(np.int64), pieces.dictionary.to_pylist()
+        codes, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
         known = self.known
         new = [p for p in distinct if p not in known]
         if len(known) + len(new) > self.limit:
             self.known = known = {p: known[p] for p in distinct if p in known}
         self._learn(new)
         units = list(map(known.__getitem__, distinct))
-        size = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        size = np.fromiter(map(len, units), np.int32, len(units)) // self.width
         begins, closes = self._kinds(pieces.dictionary, 0, 1), self._kinds(pieces.dictionary, -1, None)
-        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        there = np.flatnonzero(size[codes] > 0)  # an empty piece stands between two cuts at one place
-        x, y = there[:-1], there[1:]
-        same = owner[x] == owner[y]
-        left, right = closes[codes[x]], begins[codes[y]]
-        odd = same & (((left == 1) & (right == 1)) | ((right == 2) & (left != 4)))
-        bad = np.zeros(len(texts), bool)
-        bad[owner[y[odd]]] = True
-        bad |= pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        bad = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        bad = bad | self._odd(codes, bounds, size, begins, closes)
         if bad.any():
             # such a text is one unit: its first piece stands for all of it
-            codes[bad[owner]] = len(units)
+            codes = codes.copy()
+            codes[np.repeat(bad, np.diff(bounds))] = len(units)
             which = np.flatnonzero(bad)
             codes[bounds[which]] = len(units) + 1 + np.arange(len(which))
             units = [*units, b"", *(self.whole(texts[int(i)].as_py()) for i in which)]
-            size = np.fromiter(map(len, units), np.int64, len(units)) // 4
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(units), "<u4")
+            size = np.fromiter(map(len, units), np.int32, len(units)) // self.width
+        start = np.cumsum(size, dtype=np.int32) - size
+        flat = np.frombuffer(b"".join(units), self.kind)
         n = size[codes]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int32)
         at = np.repeat(start[codes] - ends + n, n)
-        at += np.arange(len(at))
+        at += np.arange(len(at), dtype=np.int32)
         return flat[at], ends[bounds[1:] - 1] if len(texts) else ends
 
+    @staticmethod
+    def _odd(codes, bounds, size, begins, closes) -> np.ndarray:
+        """Which texts have a cut that pre-tokenisation would not make."""
+        # only a piece that begins with a comma, a full stop or white space beside white space can be odd;
+        # an empty piece stands between two cuts at one place, so the piece before the last full one counts
+        there = np.flatnonzero((size > 0)[codes])
+        x, y = codes[there[:-1]], codes[there[1:]]
+        left, right = closes[x], begins[y]
+        odd = there[1:][((left == 1) & (right == 1)) | ((right == 2) & (left != 4))]
+        owner = np.searchsorted(bounds, odd, side="right") - 1
+        out = np.zeros(len(bounds) - 1, bool)
+        # the piece before may belong to the text before
+        first = np.searchsorted(there, bounds[owner])
+        out[owner[there[np.minimum(first, len(there) - 1)] != odd]] = True
+        return out
+
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, width: int) -> PieceEncoder:
     """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, width) not in _encoders:
+        _encoders[path, width] = PieceEncoder(path, width=width)
+    return _encoders[path, width]
 
 
-def chunks(batches, text_bytes: int = 4 << 20):
+def chunks(batches, text_bytes: int = 8 << 20):
     """Slices of Arrow batches of (id, text) with about ``text_bytes`` of text."""
     import pyarrow.compute as pc
 
@@ -292,8 +305,8 @@ def write(
     def run(batches):
         import pyarrow as pa
 
-        enc, tail = encoder(tokenizer), np.array([end_id])
-        kind = f"<u{width}"
+        enc = encoder(tokenizer, width)
+        tail = np.array([end_id], enc.kind)
         ids, parts, held = [], [], 0
 
         def close():
@@ -301,15 +314,13 @@ def write(
 
         for some in chunks(batches):
             flat, ends = enc.encode(some.column(1))
-            if len(flat) and int(flat.max()) >> (8 * width):
-                raise ValueError(f"an id needs more than {width} bytes")
-            flat, before = flat.astype(kind), 0
+            before = 0
             for i, end in zip(some.column(0).to_pylist(), ends.tolist(), strict=True):
                 if ids and (held >= block_ids or (i is None) != (ids[-1] is None)):
                     yield close()
                     ids, parts, held = [], [], 0
                 ids.append(i)
-                parts.append(np.append(flat[before:end], tail.astype(kind)))
+                parts.append(np.append(flat[before:end], tail))
                 held += end - before + 1
                 before = end
         if ids:
