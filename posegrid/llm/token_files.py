@@ -170,7 +170,7 @@ class PieceEncoder:
     kept and the others forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 700_000, width: int = 4):
+    def __init__(self, path: str, limit: int = 450_000, width: int = 4):
         from tokenizers import Tokenizer
 
         self.width, self.kind = width, f"<u{width}"
@@ -280,7 +280,7 @@ def encoder(path: str, width: int) -> PieceEncoder:
     return _encoders[path, width]
 
 
-def chunks(batches, text_bytes: int = 8 << 20):
+def chunks(batches, text_bytes: int = 4 << 20):
     """Slices of Arrow batches of (id, text) with about ``text_bytes`` of text."""
     import pyarrow.compute as pc
 
@@ -305,6 +305,7 @@ def write(
     def run(batches):
         import pyarrow as pa
 
+        pa.set_memory_pool(pa.system_memory_pool())  # gives back what a chunk took
         enc = encoder(tokenizer, width)
         tail = np.array([end_id], enc.kind)
         ids, parts, held = [], [], 0
@@ -339,7 +340,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data, before = content.as_py(), 0
+                data, before = memoryview(content.as_buffer()), 0
                 for block in blocks(data):
                     ends = block.bounds.values()
                     flat = block.flat.astype("<u4")
