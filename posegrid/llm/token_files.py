@@ -170,7 +170,7 @@ class PieceEncoder:
     kept and the others forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 450_000, width: int = 4):
+    def __init__(self, path: str, limit: int = 600_000, width: int = 4):
         from tokenizers import Tokenizer
 
         self.width, self.kind = width, f"<u{width}"
@@ -295,7 +295,7 @@ def chunks(batches, text_bytes: int = 4 << 20):
 
 def write(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-    width: int = 2, block_ids: int = 1 << 20, file_bytes: int = 32 << 20,
+    width: int = 2, block_ids: int = 1 << 20, file_bytes: int = 16 << 20,
 ) -> None:
     """Encode the documents and write them below ``path``. ``width``: 2 if all ids are below 65,536."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -305,7 +305,6 @@ def write(
     def run(batches):
         import pyarrow as pa
 
-        pa.set_memory_pool(pa.system_memory_pool())  # gives back what a chunk took
         enc = encoder(tokenizer, width)
         tail = np.array([end_id], enc.kind)
         ids, parts, held = [], [], 0
