@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from posegrid.operators import agent
 from posegrid.operators import hierarchy as H
 from posegrid.operators import ik
 from posegrid.plans import views as V
@@ -320,11 +321,15 @@ def gate2(spark, sf):
     return agree.join(F.broadcast(cover)).select((F.col("agree") & (F.col("coverage") >= 1.0)).alias("passed"), "coverage")  # one row each
 
 
-@query("AGT1", "SELECT event_id AS request, event_type IN ('click', 'view') AS ok, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 2 END AS status FROM events")
+@query("AGT1", using("clip_frame") + "\nSELECT 'clip' || clip AS request_id, clip % 4 = 0 AS ok, CAST(CASE clip % 4 WHEN 0 THEN 0 WHEN 3 THEN 3 ELSE 2 END AS INTEGER) AS status, CASE WHEN clip % 4 = 0 THEN count(*) * 51 * 4 END AS raw_bytes FROM clip_frame GROUP BY clip")
 def agt1(spark, sf):
-    """A batch of requests: one that fails leaves the others alone."""
-    known = F.col("event_type").isin("click", "view")
-    return V.table(spark, sf, "events").select(F.col("event_id").alias("request"), known.alias("ok"), F.when(known, 0).otherwise(2).alias("status"))
+    """A batch of encode requests: an unknown operation, a missing argument and a broken text leave the good ones alone."""
+    k = F.regexp_extract("path", r"(\d+)", 1).cast("int") % 4
+    body = F.when(k == 3, F.lit("HIERARCHY broken")).otherwise(F.col("content"))
+    arguments = F.struct(body.alias("text"), F.when(k != 2, F.lit("low")).alias("preset"))
+    line = F.struct(F.lit("v1").alias("protocol"), F.col("path").alias("request_id"), F.when(k == 1, "explode").otherwise("encode").alias("operation"), arguments.alias("arguments"))
+    found = agent.run_batch(texts(spark, sf).select(F.to_json(line).alias("line")))
+    return found.select("request_id", "ok", "status", F.get_json_object("result", "$.raw_bytes").cast("long").alias("raw_bytes"))
 
 
 @query("FLT13", "SELECT doc_id, regexp_matches(text, '(?i)all rights reserved') AS license, regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') AS mail FROM documents WHERE text IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from posegrid.functions import codes, names
 from posegrid.functions import quat as Q
-from posegrid.operators import constraints, hierarchy, ik, keys, resample, retarget
+from posegrid.operators import agent, constraints, hierarchy, ik, keys, resample, retarget
 from posegrid.plans import windows
 from posegrid.plans.registry import ENGINE, TOY, skeleton
 from posegrid.sources import bvh, container, npz
@@ -241,3 +241,16 @@ def test_ik_reaches():
     goal = {2: np.array([[1.0, 1, 0], [0.4, -1.4, 0.2]])}
     _, p = hierarchy.walk([-1, 0, 1], ik.descend([-1, 0, 1], r, t, {2: [1, 0]}, goal, 200), t)
     assert np.abs(p[:, 2] - goal[2]).max() < 0.05
+
+
+def test_agent_batch(spark):
+    import json
+
+    ask = lambda **k: json.dumps({"protocol": "v1", "request_id": "r", **k})
+    lines = [ask(operation="none"), ask(operation="encode", arguments={"text": BVH, "preset": "low"}), "{", " ", ask(operation="encode", arguments={"text": "x", "preset": "low"}), ask(operation="inspect", arguments={"content": "", "more": 1})]
+    got = agent.run_batch(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert [r["status"] for r in got] == [2, 0, 2, 3, 2]
+    content = json.loads(got[1]["result"])["content"]
+    again = [ask(operation="decode", arguments={"content": content}), ask(operation="inspect", arguments={"content": content}), ask(operation="capabilities")]
+    text, facts, able = (json.loads(agent.answer(x)[3]) for x in again)
+    assert bvh.loads(text["text"]).rig.names == ["Hips", "Chest"] and facts["frames"] == 3 and "encode" in able["operations"]
