@@ -21,7 +21,7 @@ Steps, all on tables in the shared folder:
    full sets. Only links that join two components leave a block.
 
 Two documents of similarity s share a band with probability 1 - (1 - s^rows)^bands: with the
-defaults a pair of exactly 0.8 is missed with probability 4e-6, and the test misses at most
+defaults a pair of exactly 0.8 is missed with probability 3e-6, and the test misses at most
 ``miss`` for each of its batches.
 
 Defined results
