@@ -14,7 +14,8 @@ Defined results
   * null text is empty; null metadata is a value of its own; missing metadata columns are null;
   * labels that are null are no labels; of several labels of an id the smallest counts;
   * without labels of both kinds in the sample every score is 0.5, and nothing is rejected;
-  * rows that repeat an id are scored one by one; a null id is scored like any other;
+  * rows that repeat an id are scored one by one, and the one with the smallest views is learnt from;
+  * a null id is scored like any other;
   * without documents the result is empty; further columns are ignored.
 """
 
@@ -180,7 +181,9 @@ def train(views: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
     order = F.xxhash64(F.col("__id").cast("string"), F.lit("quality"))
     sample = F.broadcast(labels.orderBy(order, "__id").limit(max_rows))
-    rows = views.join(sample, F.col("doc_id") == F.col("__id")).select("doc_id", "x", "m", "y").collect()
+    # one row an id: an id that many rows share must not reach the driver with all of them
+    of_id = views.join(sample, F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.min(F.struct("x", "m", "y")).alias("r"))
+    rows = of_id.select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     nobody = Quality(None, None, (0, 0, 0))
     if not rows:

@@ -14,7 +14,8 @@ Defined results
   * null and empty texts have the score of a text without features;
   * labels that are null are no labels; an id that is labelled twice is toxic if one label says so;
   * without labels of both kinds every score is the share of toxic labels, or 0 without any;
-  * rows that repeat an id are scored one by one; without documents the result is empty;
+  * rows that repeat an id are scored one by one, and the smallest text of a labelled id is learnt from;
+  * without documents the result is empty;
   * columns beside id and text are ignored.
 """
 
@@ -150,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
     picked = [labels.where(F.col("y") == v).orderBy(order, "doc_id").limit(max_rows) for v in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "__id"))  # 2 * max_rows rows
     found = docs.join(sample, F.col("doc_id") == F.col("__id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
-    rows = sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # one row an id
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     share = counts.get(1, 0) / sum(counts.values())
     return Toxicity.fit([r["text"] for r in rows], [r["y"] for r in rows], share, **options)
 
