@@ -7,8 +7,8 @@
 2. A dynamic programme over the histogram finds the boundaries of at most ``buckets`` buckets with
    the least padding in all; each layer is solved in linear time by the lower envelope of lines.
 3. In a bucket with boundary L a batch holds up to max(1, budget // L) documents. Buckets are cut
-   into shards of about SHARD documents by a hash of the id, so that no bucket is ordered in one
-   task; within a shard documents are ordered by length and id and cut into batches. A
+   into shards of about SHARD documents by a hash of id and length, so that no bucket and no
+   repeated or null id is ordered in one task; within a shard documents are ordered by length and id and cut into batches. A
    shard has at most one batch that is not full.
 
 Defined results
@@ -101,7 +101,7 @@ def pack(
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1)
     placed = sized.withColumn("bucket", of).withColumn("boundary", pick(cuts).cast("long"))
     shards = [max(1, -(-n // shard)) for n in counts]
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id"), pick(shards)).cast("int"))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_units"), pick(shards)).cast("int"))
     rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_units", "doc_id")) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), "boundary"))).cast("long")
     out = placed.withColumn("rank", rank).withColumn("room", room)
