@@ -13,9 +13,9 @@ whole documents:
 Boundaries and document ids cost about two bits more than log2(range / documents) each; no table
 of 64-bit offsets exists on disk. ``select(i)`` starts at the sample of every 256th set bit.
 
-Documents are shuffled by ranges of their id, so that files are in id order, and tokenised as a
-stream; a block is closed at ``block_ids`` ids. Files are read whole, so the number of ranges follows
-the bytes of text.
+Documents are shuffled by ranges of their id and of their text's first bytes, so that files are in
+id order and an id of many rows is not one file; they are tokenised as a stream; a block is closed
+at ``block_ids`` ids. Files are read whole, so the number of ranges follows the bytes of text.
 
 Defined results
   * null text is empty; an empty text has the end id alone;
@@ -327,7 +327,8 @@ def write(
             yield close()
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    placed = docs.repartitionByRange(int(n), order[0]).sortWithinPartitions(*order)
+    first = F.substring(F.col("text").cast("binary"), 1, 16)  # sorts as texts do; a sample of it goes to the driver
+    placed = docs.repartitionByRange(int(n), order[0], first).sortWithinPartitions(*order)
     placed.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
