@@ -147,6 +147,22 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs(spark, []), toxicity.train(docs(spark, []), labels.limit(0))).count() == 0
 
 
+def test_fits_take_one_row_an_id(spark, scratch):
+    """An id of many rows counts once, whatever the order of the rows."""
+    rng = random.Random(5)
+    filler = lambda: " ".join(rng.choice("sun tree house river cloud stone bird grass".split()) for _ in range(12))
+    rows = [(i, f"{filler()} {'idiot !!! $$$' * 3 if i % 2 else ''}") for i in range(120)]
+    many = [(7, f"{filler()} idiot copy {k}") for k in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(120)], "doc_id long, toxic int, quality int")
+    least = [r for r in rows if r[0] != 7] + [(7, min(t for i, t in rows + many if i == 7))]
+    want = toxicity.train(docs(spark, least), labels)
+    for given in (rows + many, many[::-1] + rows):
+        got = toxicity.train(docs(spark, given), labels)
+        assert got.weights == pytest.approx(want.weights) and got.bias == pytest.approx(want.bias)
+    out = quality.assess(docs(spark, rows + many), labels, scratch).where("doc_id <> 7").collect()
+    assert all(r["rejected"] == (r["doc_id"] % 2 == 1) for r in out) and len(out) == 119
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op3_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
@@ -213,6 +229,9 @@ def test_packing(spark, scratch):
     full = size.groupby(["bucket", "shard"]).apply(lambda g: (g["n"] < max(1, 400 // max(1, g["b"].iloc[0]))).sum())
     assert (full <= 1).all()
     assert packing.pack(docs(spark, []), scratch).count() == 0
+    same = [(None, "w " * (k % 50)) for k in range(600)]  # one id holds all rows: no shard does
+    got = packing.pack(docs(spark, same), scratch, buckets=1, budget=400, shard=100).groupBy("shard").count().collect()
+    assert len(got) == 6 and sum(r["count"] for r in got) == 600 and max(r["count"] for r in got) < 300
 
 
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 5000, 10**9 + 7])
@@ -248,10 +267,14 @@ def test_token_files(spark, scratch):
     tok = Tokenizer.from_file(path)
     rng = random.Random(1)
     rows = EDGES + [(100 + i, "".join(rng.choice("ab., \n\t\xa0'5é!") for _ in range(rng.randint(0, 40)))) for i in range(600)]
-    rows += [(3000, "x  y"), (3001, "a .b"), (3002, "<|endoftext|> z"), (3003, "a\0b .c")]
+    rows += [(None, f"row {k}") for k in range(40)] + [(3000, "x  y"), (3001, "a .b"), (3002, "<|endoftext|> z"), (3003, "a\0b .c")]
     where = scratch.path("tokens")
     token_files.write(docs(spark, rows), where, path, 2, block_ids=2000)
     got = token_files.with_global_start(scratch.table(token_files.read(spark, where), "d")).collect()
+    many = scratch.path("one-id")
+    token_files.write(docs(spark, [(None, f"{k:04d} " + "w" * 10_000) for k in range(400)]), many, path, 2, file_bytes=1 << 20)
+    sizes = [r["n"] for r in token_files.read(spark, many).groupBy("file").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 400 and max(sizes) < 250
     start = 0
     want = []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
