@@ -28,12 +28,22 @@ def exact_mapping(source: DataFrame, target: DataFrame) -> DataFrame:
     return target.select(F.col("joint").alias("target"), names.local_name(F.col("name")).alias("local")).join(F.broadcast(first), "local").select("target", "source")
 
 
+def driver_bones(driver: DataFrame, target: DataFrame) -> DataFrame:
+    """(target, driver) of bones with equal plain names; of a driver's equal names the last counts."""
+    last = driver.groupBy(names.plain_name(F.col("name")).alias("plain")).agg(F.max("joint").alias("driver"))
+    return target.select(F.col("joint").alias("target"), names.plain_name(F.col("name")).alias("plain")).join(F.broadcast(last), "plain").select("target", "driver")
+
+
+def spine_ranks(joints: DataFrame) -> DataFrame:
+    """(what, joint, rank, n) of a described skeleton's spine joints, from the root up."""
+    spine = Window.partitionBy("what")
+    return joints.where("what = 'spine'").select("what", "joint", (F.row_number().over(spine.orderBy("joint")) - 1).alias("rank"), F.count("*").over(spine).alias("n"))
+
+
 def spine_pairs(s: DataFrame, t: DataFrame) -> DataFrame:
     """(target, source) of spine joints at the same share of their chains, half to even."""
-    order = Window.partitionBy("what").orderBy("joint")
-    ranked = lambda d: d.where("what = 'spine'").select("what", "joint", (F.row_number().over(order) - 1).alias("rank"), F.count("*").over(Window.partitionBy("what")).alias("n"))
-    a = ranked(s).select(F.col("joint").alias("source"), F.col("rank").alias("wanted"), F.col("n").alias("ns"))
-    b = ranked(t).select(F.col("joint").alias("target"), "rank", F.col("n").alias("nt"))
+    a = spine_ranks(s).select(F.col("joint").alias("source"), F.col("rank").alias("wanted"), F.col("n").alias("ns"))
+    b = spine_ranks(t).select(F.col("joint").alias("target"), "rank", F.col("n").alias("nt"))
     of = a.select("ns").distinct()
     b = b.join(F.broadcast(of))  # one row: the length of the source's chain
     b = b.withColumn("wanted", F.rint(F.col("rank") * (F.col("ns") - 1) / F.greatest(F.lit(1), F.col("nt") - 1)).cast("int")).drop("ns")

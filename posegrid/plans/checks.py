@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posegrid.functions import quat as Q
 from posegrid.operators import constraints as C
+from posegrid.operators import scene
 from posegrid.plans import views as V
 from posegrid.plans.registry import m, micro, query, using
 from posegrid.plans.windows import SPLITS, SQ, mse, split_report
@@ -241,3 +242,18 @@ def snk9(spark, sf):
     return rows.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), ""), 256).alias("tree"))
 
 
+@query("AGG26", """WITH o AS (SELECT l_orderkey AS scene, ['ARMATURE', 'MESH', 'ACTION', 'IMAGE'][l_linenumber % 4 + 1] AS kind, l_orderkey || '-' || l_linenumber AS name, CAST(l_quantity AS BIGINT) AS n,
+  ['m' || l_partkey % 40, 'm' || l_suppkey % 40] AS materials, l_returnflag = 'A' AS packed, l_linestatus = 'O' AS found FROM lineitem),
+a AS (SELECT scene, count(*) FILTER (WHERE kind = 'ARMATURE') AS armature_count, CAST(coalesce(sum(n) FILTER (WHERE kind = 'ARMATURE'), 0) AS BIGINT) AS bone_count, count(*) FILTER (WHERE kind = 'MESH') AS mesh_count,
+  count(*) FILTER (WHERE kind = 'ACTION') AS action_count, CAST(coalesce(sum(n) FILTER (WHERE kind = 'ACTION'), 0) AS BIGINT) AS keyframe_count,
+  coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE kind = 'IMAGE' AND NOT packed AND NOT found), '') AS missing FROM o GROUP BY scene),
+s AS (SELECT scene, count(DISTINCT material) AS material_count FROM (SELECT scene, unnest(materials) AS material FROM o WHERE kind = 'MESH') GROUP BY scene)
+SELECT a.*, coalesce(material_count, 0) AS material_count FROM a LEFT JOIN s USING (scene)""")
+def agg26(spark, sf):
+    """Scene counts; the lines of an order stand in for the objects of a scene."""
+    named = lambda c: F.concat(F.lit("m"), F.col(c) % 40)
+    kinds = F.array(*map(F.lit, ("ARMATURE", "MESH", "ACTION", "IMAGE")))
+    return scene.scene_summary(V.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("scene"), F.get(kinds, (F.col("l_linenumber") % 4).cast("int")).alias("kind"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("name"),
+        F.col("l_quantity").cast("long").alias("n"), F.array(named("l_partkey"), named("l_suppkey")).alias("materials"), (F.col("l_returnflag") == "A").alias("packed"), (F.col("l_linestatus") == "O").alias("found"),
+    ))

@@ -89,6 +89,26 @@ def src2(spark, sf):
     return e.select("path", "frames", ((F.col("degrees") <= 0.0625) & (F.col("units") < 1e-3)).alias("close"))
 
 
+@query("SRC9", using("clip_frame") + "\nSELECT 'clip' || clip AS path, true AS equal FROM clip_frame GROUP BY clip")
+def src9(spark, sf):
+    """A payload that the host inflated gives the very poses that the container gives."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ok = []
+            for c in b.column(1):
+                data = c.as_py()
+                whole = container.decode(data)
+                meta, raw = container.opened(data)
+                part = container.open_raw(json.dumps(meta).encode(), raw)
+                ok.append(np.array_equal(whole.rotations, part.rotations) and np.array_equal(whole.translations, part.translations))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ok, pa.bool_())], names=["path", "equal"])
+
+    return containers(spark, sf).select("path", "content").mapInArrow(run, "path string, equal boolean")
+
+
 @query("COD3", EACH + ", true AS close" + END)
 def cod3(spark, sf):
     e = errors(clips(spark, sf), bvh.parse(containers(spark, sf, "low"), container.decode))

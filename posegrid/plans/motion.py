@@ -188,6 +188,22 @@ def jon5(spark, sf):
     return R.spine_pairs(R.described(skeleton(spark, TOY)), R.described(skeleton(spark, ENGINE)))
 
 
+@query("WIN7", using("toy", "engine") + _MAP + "SELECT 'toy' AS skeleton, CAST(joint AS INTEGER) AS joint, CAST(rank AS INTEGER) AS rank, n FROM ss UNION ALL SELECT 'engine', CAST(joint AS INTEGER), CAST(rank AS INTEGER), n FROM st")
+def win7(spark, sf):
+    ranks = lambda label, joints: R.spine_ranks(R.described(skeleton(spark, joints))).select(F.lit(label).alias("skeleton"), "joint", "rank", "n")
+    return ranks("toy", TOY).unionByName(ranks("engine", ENGINE))
+
+
+_DRIVER = "drv AS (SELECT joint, upper(name) AS name FROM toy UNION ALL VALUES (16, 'x:HEAD'))"
+
+
+@query("JON13", using("toy") + f",\n{_RIG},\n{_DRIVER}\nSELECT CAST(t.joint AS INTEGER) AS target, CAST(max(d.joint) AS INTEGER) AS driver FROM tgt t JOIN drv d ON {_PLAIN.replace('name', 't.name')} = {_PLAIN.replace('name', 'd.name')} GROUP BY t.joint")
+def jon13(spark, sf):
+    """Which bone drives which: names differ in case and name space, and one name stands twice."""
+    rows = [(i, n.upper()) for i, (n, _, _) in enumerate(TOY)] + [(16, "x:HEAD")]
+    return R.driver_bones(spark.createDataFrame(rows, "joint int, name string"), rigged(spark))
+
+
 @query("AGG22", using("toy", "engine") + _MAP + ",\ncore AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in names.CORE) + "]) AS what), sh AS (SELECT what FROM core INTERSECT SELECT what FROM sm INTERSECT SELECT what FROM tm)\nSELECT count(*) AS shared, count(*) FILTER (WHERE what IN (SELECT t.what FROM mp JOIN tm t ON t.joint = mp.target WHERE mp.source IS NOT NULL)) AS mapped FROM sh")
 def agg22(spark, sf):
     s, t = skeleton(spark, TOY), skeleton(spark, ENGINE)

@@ -190,7 +190,31 @@ def opened(data: bytes) -> tuple[dict, bytes]:
 
 
 def decode(data: bytes) -> Clip:
-    document, raw = opened(data)
+    return decode_raw(*opened(data))
+
+
+def open_raw(metadata: bytes, raw: bytes) -> Clip:
+    """A clip from its metadata text and a payload that a host has inflated already."""
+    if not metadata or len(metadata) > MOST_METADATA or len(raw) > MOST_PAYLOAD:
+        raise ClipError("the metadata or payload is empty or too large")
+    try:
+        document = json.loads(metadata.decode("utf-8"))
+    except ValueError as e:
+        raise ClipError("the metadata can't be read") from e
+    if not isinstance(document, dict) or document.get("schema") != SCHEMA or document.get("schema_version") != SCHEMA_VERSION:
+        raise ClipError("unknown schema")
+    return decode_raw(document, raw)
+
+
+def decode_raw(document: dict, raw: bytes) -> Clip:
+    """A clip from its metadata and the inflated payload; metadata that lack a field are an error of the clip."""
+    try:
+        return _decode(document, raw)
+    except (KeyError, TypeError, AttributeError) as e:
+        raise ClipError(f"the metadata lack a field or have it in another type: {e}") from e
+
+
+def _decode(document: dict, raw: bytes) -> Clip:
     rig, c, n = Rig.of(document["skeleton"]), document["codec"], document["frame_count"]
     problems = [
         not (isinstance(n, int) and 1 <= n <= MOST_FRAMES), c["name"] != CODEC, rig.signature() != document["skeleton_sha256"],

@@ -254,3 +254,17 @@ def test_agent_batch(spark):
     again = [ask(operation="decode", arguments={"content": content}), ask(operation="inspect", arguments={"content": content}), ask(operation="capabilities")]
     text, facts, able = (json.loads(agent.answer(x)[3]) for x in again)
     assert bvh.loads(text["text"]).rig.names == ["Hips", "Chest"] and facts["frames"] == 3 and "encode" in able["operations"]
+
+
+def test_metadata_without_a_field_is_an_error():
+    from posegrid.plans.files import RIG
+
+    rest = np.zeros((3, 16, 4))
+    rest[..., 0] = 1
+    meta, raw = container.opened(container.encode(Clip(RIG, rest, np.repeat(RIG.offsets[None], 3, 0), 1 / 30)))
+    assert container.decode_raw(meta, raw).rotations.shape == (3, 16, 4)
+    for gone in ("codec", "frame_count", "skeleton"):
+        with pytest.raises(ClipError):
+            container.decode_raw({k: v for k, v in meta.items() if k != gone}, raw)
+    with pytest.raises(ClipError):
+        container.open_raw(b"[]", raw)
