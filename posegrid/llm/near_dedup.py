@@ -3,8 +3,8 @@
 Steps, all on tables in the shared folder:
 
 1. One pass over the texts gives each document the size and digest of its shingle set, a MinHash
-   signature (a byte a hash) and its band keys. Documents with equal sets form a class; only the
-   smallest id of a class goes on.
+   signature (a byte a hash) and its band keys. Rows with equal sets form a class; only one row of
+   a class goes on, under a number of its own, so rows that share an id are searched one by one.
 2. Band keys are counted; a key with several members makes a bucket. Buckets of up to SMALL
    members give all their pairs (a bounded number each), larger ones the pairs with their smallest
    member, so that candidates grow with the members and not with their square.
@@ -19,6 +19,7 @@ Steps, all on tables in the shared folder:
    due. They are compared in blocks of at most BLOCK x BLOCK members (never a bucket in one task),
    each pair in the first band that it shares: a length bound, the same sequential test, then the
    full sets. Only links that join two components leave a block.
+6. Rows get the component of their class, and components that share an id are joined.
 
 Two documents of similarity s share a band with probability 1 - (1 - s^rows)^bands: with the
 defaults a pair of exactly 0.8 is missed with probability 3e-6, and the test misses at most
@@ -166,7 +167,7 @@ def least_matches(threshold: float, batch: int, total: int, miss: float) -> list
 
 
 def sketch(docs: DataFrame, scratch: Scratch, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, cls, sig, keys) of each document."""
+    """(doc, d, n, cls, sig, keys, id) of each row: ``doc`` is its doc_id, ``d`` its text's digest, ``id`` numbers the rows."""
 
     def run(batches):
         import pyarrow as pa
@@ -186,20 +187,23 @@ def sketch(docs: DataFrame, scratch: Scratch, size: int, bands: int, rows: int)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(start, len(some)),
+                        batch.column(2).slice(start, len(some)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in sigs], pa.binary()),
                         pa.array([None if s is None else hasher.band_keys(s).tolist() for s in sigs], pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "cls", "sig", "keys"],
+                    names=["doc", "d", "n", "cls", "sig", "keys"],
                 )
 
-    return scratch.table(
-        docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            run, "id long, n long, cls binary, sig binary, keys array<long>"
-        ),
-        "sketch",
-    )
+    each = plain(docs).mapInArrow(run, "doc long, d binary, n long, cls binary, sig binary, keys array<long>")
+    return scratch.table(each.withColumn("id", F.monotonically_increasing_id()), "sketch")
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """(doc, text, d): what tells rows apart, whatever their order."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("d"))
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, limits: list[int], threshold: int, scratch: Scratch) -> DataFrame:
@@ -324,15 +328,15 @@ def shingle_table(texts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     return scratch.table(texts.select("id", "text").mapInArrow(run, "id long, set binary"), "sets")
 
 
-def near_duplicates(
+def linked(
     docs: DataFrame, scratch: Scratch, size: int = 5, threshold: int = 80, bands: int = BANDS, rows: int = ROWS,
     miss: float = MISS, small: int = SMALL,
 ) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id of its component), kept."""
+    """(doc, d, n, root) of each row: rows with one root are one component, as are all rows of an id."""
     docs = docs.select("doc_id", "text")
     limits = least_matches(threshold / 100, BATCH, bands * rows, miss)
     known = sketch(docs, scratch, size, bands, rows)
-    full = known.where("n > 0 AND id IS NOT NULL")
+    full = known.where("n > 0 AND doc IS NOT NULL")
     classes = scratch.table(
         full.select("cls", "id").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
@@ -340,10 +344,10 @@ def near_duplicates(
     copied = scratch.table(classes.where("copies > 1"), "copied")
     n_copied = copied.count()
     of = bounded(copied.select("cls", "rep"), n_copied)
-    member = scratch.table(full.join(of, "cls").select("id", "rep").distinct(), "members")
+    member = scratch.table(full.join(of, "cls").select("id", "rep", "doc", "d"), "members")
+    # equal rows are of one class, and have one text between them
+    again = member.groupBy("doc", "d").count().where("count > 1").limit(1).count() > 0
     reps = full.join(bounded(member.where("id <> rep").select("id")), "id", "left_anti")
-    if full.count() > full.select("id").distinct().count():  # repeated ids
-        reps = reps.dropDuplicates(["id"])
     reps = scratch.table(reps.select("id", "n", "sig", "keys"), "reps")
     sigs = reps.select("id", "n", "sig")
 
@@ -359,7 +363,7 @@ def near_duplicates(
     left = likely(pairs, sigs, limits, threshold, scratch)
 
     involved = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = scratch.table(texts_of(docs, involved), "texts")
+    texts = scratch.table(texts_of(docs, known, involved, again, scratch), "texts")
     best = left.groupBy("b").agg(F.min(F.struct((-F.col("m")).alias("m"), "a")).alias("x")).select("x.a", "b")
     labels = components(verified(best, texts, size, threshold, scratch), scratch)
     rest = between(left.join(best, ["a", "b"], "left_anti"), labels, scratch)
@@ -371,30 +375,41 @@ def near_duplicates(
     # buckets of one component are done
     large = scratch.table(large.join(bounded(mixed), "key").select("key", "n", "id", "root"), "mixed")
     if large.limit(1).count():
-        whole = shingle_table(texts_of(docs, large.select("id").distinct()), size, scratch)
+        whole = shingle_table(texts_of(docs, known, large.select("id").distinct(), again, scratch), size, scratch)
         due = large.join(reps.select("id", "sig", "keys"), "id").join(whole, "id")
         labels = components(scratch.table(block_links(due, limits, threshold), "links"), scratch, labels)
 
     # classes: members have the root of their representative
-    roots = member.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select(
-        F.col("id").alias("a"), F.coalesce("root", "rep").alias("b")
-    )
-    single = labels.join(member.select("id"), "id", "left_anti").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    # an id with several rows may stand in several classes: joined by components again
-    joined = scratch.table(roots.unionByName(single).where("a <> b"), "joined")
-    twice = joined.groupBy("a").count().where("count > 1").limit(1).count()
-    final = components(joined, scratch) if twice else joined.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    each = known.groupBy("id").agg(F.max("n").alias("n_shingles"))
-    out = each.join(bounded(final), "id", "left").select(
-        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("root", "id").alias("component_id")
+    of_rep = bounded(labels.select(F.col("id").alias("rep"), "root"))
+    placed = known.select("id", "doc", "d", "n").join(bounded(member.select("id", "rep")), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    placed = scratch.table(placed.join(of_rep, "rep", "left").select("doc", "d", "n", F.coalesce("root", "rep").alias("root")), "placed")
+    # an id with several rows may stand in several components: they are one
+    spread = placed.where("doc IS NOT NULL").groupBy("doc").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z")
+    spread = scratch.table(spread.select("doc", "a"), "spread")
+    n_spread = spread.count()
+    if n_spread:
+        shared = placed.select("doc", F.col("root").alias("b")).join(bounded(spread, n_spread), "doc").where("a <> b").select("a", "b")
+        final = components(shared, scratch).select(F.col("id").alias("root"), F.col("root").alias("up"))
+        placed = scratch.table(placed.join(bounded(final), "root", "left").select("doc", "d", "n", F.coalesce("up", "root").alias("root")), "placed")
+    return placed
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest id of its component), kept."""
+    placed = linked(docs, scratch, **options)
+    each = scratch.table(placed.groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("root").alias("root")), "each")
+    first = scratch.table(each.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("ids")).where("ids > 1"), "first")
+    out = each.join(bounded(first.select("root", "least")), "root", "left").select(
+        F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("least", "doc").alias("component_id")
     )
     return scratch.table(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents with these ids."""
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return found.join(bounded(ids), "id", "left_semi")
+def texts_of(docs: DataFrame, known: DataFrame, ids: DataFrame, again: bool, scratch: Scratch) -> DataFrame:
+    """(id, text) of the rows with these numbers. ``again``: there are equal rows, of which one is enough."""
+    wanted = scratch.table(known.select("id", F.col("doc").alias("doc_"), F.col("d").alias("d_")).join(bounded(ids), "id", "left_semi"), "wanted")
+    found = plain(docs).join(bounded(wanted), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("d") == F.col("d_"))).select("id", "text")
+    return found.dropDuplicates(["id"]) if again else found
 
 
 def with_roots(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -390,6 +390,38 @@ def test_near_dedup_edges(spark, scratch):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 7, 8, 9] and kept.where("doc_id IS NULL").count() == 1
 
 
+def brute_rows(rows, size):
+    """Components of rows that may repeat ids: each row is compared, then rows of an id are joined."""
+    each = brute_components([(k, t) for k, (_, t) in enumerate(rows)], size)
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (k, (i, _)), (m, (j, _)) in itertools.combinations(enumerate(rows), 2):
+        if each[k][1] == each[m][1]:
+            r, s = sorted((root(i), root(j)))
+            up[s] = r
+    return {i: (max(each[k][0] for k, (j, _) in enumerate(rows) if j == i), root(i)) for i in up}
+
+
+def test_near_dedup_repeated_ids(spark, scratch):
+    rng = random.Random(3)
+    word = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    a, b, c, d = (word(60) for _ in range(4))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    a_, b_, c_, d_ = (" ".join(t) for t in (a, b, c, d))
+    rows = [(3, a_), (7, a_), (7, b_), (9, near(b)), (16, c_), (16, d_), (16, c_), (19, near(d)), (20, near(c)), (21, " ".join(word(60))), (21, None)]
+    for some in (rows, rows[::-1]):
+        want = brute_rows(some, 2)
+        assert want[9][1] == 3 and want[19][1] == want[20][1] == 16
+        found = near_dedup.near_duplicates(docs(spark, some), scratch, size=2).collect()
+        assert len(found) == len(want) and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+        assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs(spark, some), scratch, size=2).collect()) == [3, 16, 16, 16, 21, 21]
+
+
 def test_posterior_bound_keeps_the_threshold():
     rng = np.random.default_rng(0)
     limits = near_dedup.least_matches(0.8, 32, 160, 1e-6)
