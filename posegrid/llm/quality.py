@@ -4,7 +4,7 @@
    repeated words, lengths of words, lines and sentences. The metadata view has language, source and
    the stated length. Both are written as one small table.
 2. Each view's classifier is fitted on a sample of at most ``max_rows`` labelled rows. For
-   ``rounds`` rounds both score all unlabelled documents; the surest ``exchange`` documents of each
+   ``rounds`` rounds both score all documents without a label, in the sample or not; the surest ``exchange`` documents of each
    label that a view is sure enough of become pseudo-labels of the other view. A view teaches
    only if the calibration fold shows that it ranks better than chance by ``skill``.
 3. A fold of the labels that no fit has seen calibrates each view (Platt) and their combination.
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posegrid.llm._common import Scratch
+from posegrid.llm._common import Scratch, bounded
 from posegrid.llm._fit import logistic, sigmoid
 
 MAX_ROWS = 20_000
@@ -194,7 +194,8 @@ def train(views: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
     kept = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0 for r in rows])  # the calibration fold
     if min(y[~kept].sum(), (~kept).sum() - y[~kept].sum(), y[kept].sum(), kept.sum() - y[kept].sum()) < 1:
         return nobody
-    unlabelled = views.join(F.broadcast(sample.select("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
+    # no labelled document, in the sample or not, may get a pseudo-label; written once for all rounds
+    unlabelled = scratch.table(views.join(bounded(labels.select("__id")), F.col("doc_id") == F.col("__id"), "left_anti"), "unlabelled")
     more: dict[str, tuple[list, list]] = {"text": ([], []), "meta": ([], [])}
 
     def fitted() -> Quality:

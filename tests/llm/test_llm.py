@@ -464,6 +464,22 @@ def test_quality_edges(spark, scratch):
     assert all(got[i] == (i % 2 == 0) for i in range(200))
 
 
+def test_quality_labels_beyond_the_sample(spark, scratch, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["sun", "tree", "is", "the."]) for _ in range(30)) if i % 2 else "BUY!! NOW!! $$$ " * rng.randint(3, 9)) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    scored, real = [], quality._exchangeable
+
+    def spy(some, model):
+        scored.append(some.count())
+        return real(some, model)
+
+    monkeypatch.setattr(quality, "_exchangeable", spy)
+    views = quality.measured(docs(spark, [*rows, (None, "sun")]), scratch)
+    quality.train(views, labels, scratch, max_rows=60, rounds=1)
+    assert scored == [21]
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
