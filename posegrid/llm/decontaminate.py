@@ -19,8 +19,10 @@ the document's words are at hand for step 3 and nothing of a document is shuffle
 Defined results
   * null or wordless text has no words, no hits and is not contaminated;
   * an item without words has no window; equal windows of several items count for each of them;
-  * rows that repeat an id are one document: hits of all its rows together, the largest word count;
-  * a null id is a document of its own; a null item id is named "null";
+  * in the report, rows that repeat an id are one document: hits of all its rows together, the
+    largest word count; all rows with a null id are one document, too;
+  * the filter ``keep_clean`` judges each row by its own text, whatever its id;
+  * a null item id is named "null";
   * without items, or without documents, nothing is contaminated;
   * further columns are not looked at.
 """
@@ -148,5 +150,8 @@ def contamination(docs: DataFrame, bench: DataFrame, scratch: Scratch, size: int
 
 def keep_clean(docs: DataFrame, bench: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns as they are."""
-    found = scratch.table(contamination(docs, bench, scratch).where("contaminated").select(F.col("doc_id").alias("__id")), "contaminated")
-    return docs.join(bounded(found), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    # a text is known by its digest, so that rows that share an id, or have none, are judged one by one
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    each = docs.select(digest.alias("doc_id"), "text")
+    found = scratch.table(contamination(each, bench, scratch).where("contaminated").select(F.col("doc_id").alias("__digest")), "contaminated")
+    return docs.join(bounded(found), digest == F.col("__digest"), "left_anti")

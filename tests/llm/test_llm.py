@@ -87,6 +87,15 @@ def test_decontaminate_edges(spark, scratch):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 7, 8, 9] and kept.columns == docs(spark, []).columns
 
 
+def test_keep_clean_judges_rows(spark, scratch):
+    window = " ".join(f"w{i}" for i in range(13))
+    clean = lambda n: " ".join(f"c{i}" for i in range(n))
+    bench = spark.createDataFrame([(1, window)], "item_id long, text string")
+    rows = [(None, window), (None, clean(1000)), (5, window), (5, clean(100)), (6, window + " " + clean(1000)), (6, None)]
+    kept = decontaminate.keep_clean(docs(spark, rows), bench, scratch)
+    assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept.collect()) == [(0, len(clean(1000))), (5, len(clean(100))), (6, 0), (6, len(rows[4][1]))]
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 
 
