@@ -34,13 +34,46 @@ CORE = [
 NAMESPACE = "mixamorig"
 
 
+#: Letters whose folded form is not their lower case and has plain letters, as sharp s and ligatures.
+FOLDED = {c: f for c, f in ((chr(i), chr(i).casefold()) for i in range(128, 0xFFFF)) if f != c.lower() and any(x.isascii() and x.isalnum() for x in f)}
+
+
+def folded(text: Column) -> Column:
+    """Lower case; in names with other letters also what folds to plain ones."""
+    out = F.lower(text)
+    for c, f in FOLDED.items():
+        out = F.replace(out, F.lit(c), F.lit(f))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(F.lower(text))
+
+
 def local_name(name: Column) -> Column:
-    """What stands after the last colon, stripped."""
-    return F.trim(F.substring_index(name, ":", -1))
+    """What stands after the last colon, without white space around it."""
+    return F.regexp_replace(F.substring_index(name, ":", -1), r"(?U)^\s+|\s+$", "")
 
 
 def plain_name(name: Column) -> Column:
-    return F.regexp_replace(F.lower(F.substring_index(name, ":", -1)), "[^a-z0-9]", "")
+    return F.regexp_replace(folded(F.substring_index(name, ":", -1)), "[^a-z0-9]", "")
+
+
+def plain(name: str) -> str:
+    """``plain_name`` on the driver."""
+    return "".join(c for c in name.rsplit(":", 1)[-1].casefold() if c.isascii() and c.isalnum())
+
+
+def meanings(of: list[str]) -> list[str]:
+    """``meaning`` of a skeleton's names on the driver."""
+    out = []
+    for n in of:
+        p = plain(n).removeprefix(NAMESPACE)
+        out.append("spine" if p.startswith("spine") else f"twist:{p}" if "twist" in p else ALIASES.get(p, p))
+    return out
+
+
+def meanings_in(of: list[str]) -> list[str]:
+    """``meaning_in`` of a skeleton's names on the driver."""
+    plains = [plain(n) for n in of]
+    arms = {"leftshoulder": "left_upper_arm", "rightshoulder": "right_upper_arm"} if {"leftcollar", "rightcollar"} & {*plains} else {}
+    return [arms.get(p, m) for p, m in zip(plains, meanings(of), strict=True)]
 
 
 def meaning(name: Column) -> Column:

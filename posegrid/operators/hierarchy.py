@@ -77,6 +77,27 @@ def forward_kinematics(poses: DataFrame, parents: list[int], offsets: list[Itera
     return poses.select(*keys, "rotations", *(["translations"] if moving else [])).mapInArrow(run, schema)
 
 
+def global_positions(poses: DataFrame, parents: list[int], offsets: list[Iterable[float]], keys=("clip", "frame")) -> DataFrame:
+    """(keys, positions): global positions as one flat array a pose, 3 numbers a joint."""
+    moving = "translations" in poses.columns
+    rest = np.array([list(o) for o in offsets], float)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r = flat(b.column(len(keys)), 4)
+            t = flat(b.column(len(keys) + 1), 3) if moving else np.broadcast_to(rest, (len(r), *rest.shape)).copy()
+            _, p = walk(parents, r, t)
+            out = pa.ListArray.from_arrays(np.arange(0, p.size + 1, p[0].size, dtype=np.int32), p.ravel())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], out], names=[*keys, "positions"])
+
+    types = dict(poses.dtypes)
+    return poses.select(*keys, "rotations", *(["translations"] if moving else [])).mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", positions array<double>")
+
+
 def ancestors(spark, joints: DataFrame, levels: int = 100) -> DataFrame:
     """(joint, ancestor, depth) of every joint and itself, by a recursive query; skeletons are small."""
     joints.createOrReplaceTempView("skeleton_joint")
@@ -97,15 +118,20 @@ def rest_positions(spark, joints: DataFrame) -> DataFrame:
 
 
 def skeleton_height(spark, joints: DataFrame, up: str = "y") -> DataFrame:
-    """(height): head chain and mean foot chain; else the extent along ``up``; else the longest distance from the root."""
+    """(height): head chain and mean foot chain; else the extent along ``up`` with end sites; else the longest distance from the root.
+
+    End sites are columns ex, ey, ez of ``joints``, null where a joint has none.
+    """
     from posegrid.functions.names import meaning
 
-    rest = rest_positions(spark, joints).join(joints.select("joint", "name", "parent"), "joint").withColumn("what", meaning(F.col("name")))
+    end = F.col("e" + up) if "e" + up in joints.columns else F.lit(None).cast("double")
+    rest = rest_positions(spark, joints).join(joints.select("joint", "name", "parent", end.alias("end")), "joint").withColumn("what", meaning(F.col("name")))
     # of joints that mean the same the last counts
     last = lambda what: F.max_by(F.when(F.col("what") == what, F.col("length")), F.when(F.col("what") == what, F.col("joint")))
     head, left, right = last("head"), last("left_foot"), last("right_foot")
     feet = F.coalesce((left + right) / 2, left, right)
     root = lambda c: F.max(F.when(F.col("parent") < 0, F.col(c))).over(Window.partitionBy())  # noqa: E731  a skeleton's joints
     rest = rest.withColumn("away", F.sqrt(sum(((F.col(c) - root(c)) ** 2 for c in "yz"), (F.col("x") - root("x")) ** 2)))
-    human, extent, away = head + feet, F.max(up) - F.min(up), F.max("away")
+    tip = F.col(up) + F.coalesce("end", F.lit(0.0))
+    human, extent, away = head + feet, F.max(F.greatest(F.col(up), tip)) - F.min(F.least(F.col(up), tip)), F.max("away")
     return rest.agg(F.when(human > 1e-8, human).when(extent > 1e-8, extent).otherwise(away).alias("height"))

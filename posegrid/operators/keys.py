@@ -2,14 +2,14 @@
 
 A track keeps its ends and, as long as a segment's worst frame is off by more than the bound, that
 frame too. Each segment's decision depends on its two ends alone, so the segments of one level are
-split together: a level is one vectorised pass over the track. A track is one group; tracks are
-bounded by a clip's length.
+split together: a level is one vectorised pass over the frames of the segments that are still open.
+Tracks are dealt by their key and sorted, and a task takes its tracks one after the other from Arrow
+batches, without a group's overhead; a track is bounded by a clip's length.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 
@@ -42,49 +42,74 @@ def reduce_track(values: np.ndarray, bound: float, error) -> np.ndarray:
     every = np.arange(n)
     if n == 1 or (error(values, np.zeros(n, int), np.zeros(n, int), np.zeros(n), every) <= bound).all():
         return np.array([0])
-    keys = np.array([0, n - 1])
-    open_ = np.ones(1, bool)
-    while open_.any():
-        # the segment of each inner frame; closed segments need no second look
-        segment = np.searchsorted(keys, every, side="right") - 1
-        inner = every[~np.isin(every, keys)]
-        inner = inner[open_[segment[inner]]]
-        if not len(inner):
+    key = np.zeros(n, bool)
+    key[[0, n - 1]] = True
+    a, b = np.array([0]), np.array([n - 1])
+    while True:
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+        if not len(a):
             break
-        s = segment[inner]
-        a, b = keys[s], keys[s + 1]
-        e = error(values, a, b, (inner - a) / (b - a), inner)
-        order = np.lexsort((inner, -e, s))
-        first = order[np.r_[True, s[order][1:] != s[order][:-1]]]
-        worst = inner[first][e[first] > bound]
-        if not len(worst):
-            break
-        after = np.sort(np.concatenate([keys, worst]))
-        open_ = np.isin(after[:-1], worst) | np.isin(after[1:], worst)
-        keys = after
-    return keys
+        # the inner frames of the open segments, one segment after the other
+        size = b - a - 1
+        first = np.cumsum(size) - size
+        s = np.repeat(np.arange(len(a)), size)
+        inner = np.arange(len(s)) - first[s] + a[s] + 1
+        e = error(values, a[s], b[s], (inner - a[s]) / (b - a)[s], inner)
+        worst = np.maximum.reduceat(e, first)
+        split = worst > bound
+        # the first of equally bad frames
+        at = np.minimum.reduceat(np.where(e == worst[s], inner, n), first)[split]
+        key[at] = True
+        a, b = np.concatenate([a[split], at]), np.concatenate([at, b[split]])
+    return np.flatnonzero(key)
+
+
+def _tracks(tracks: DataFrame, keys: list[str], frame: str, cols: list[str], reduce) -> DataFrame:
+    """(keys, frame, cols) of the rows that ``reduce`` keeps of each track, given its (frames, cols) values."""
+    types = dict(tracks.dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+
+        def kept(rows: pa.RecordBatch, bounds) -> pa.RecordBatch:
+            values = np.stack([np.asarray(rows.column(len(keys) + 1 + k), dtype=float) for k in range(len(cols))], 1)
+            found = [reduce(values[i:j]) + i for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+            return rows.take(pa.array(np.concatenate(found)))
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            new = np.zeros(rows.num_rows, bool)
+            new[0] = True
+            for k in range(len(keys)):
+                new[1:] |= ~_same(rows.column(k))
+            bounds = np.flatnonzero(new)
+            # the last track may go on in the next batch
+            held = rows.slice(int(bounds[-1]))
+            if len(bounds) > 1:
+                yield kept(rows, bounds)
+        if held is not None:
+            yield kept(held, np.array([0, held.num_rows]))
+
+    names = [*keys, frame, *cols]
+    ordered = tracks.select(*names).repartition(*keys).sortWithinPartitions(*keys, frame)
+    return ordered.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names))
+
+
+def _same(column) -> np.ndarray:
+    """Whether each value but the first is the one before it; nulls are equal."""
+    codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return codes[1:] == codes[:-1]
 
 
 def reduce_scalar_tracks(tracks: DataFrame, keys: list[str], fraction: float, frame: str = "frame", value: str = "v") -> DataFrame:
     """(keys, frame, value) of the kept frames; the bound is a share of each track's range."""
-    types = dict(tracks.dtypes)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(frame, ignore_index=True)
-        v = p[[value]].to_numpy(float)
-        return p.iloc[reduce_track(v, max(float(np.ptp(v)) * fraction, 1e-12), scalar_error)]
-
-    cols = [*keys, frame, value]
-    return tracks.select(*cols).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in cols))
+    return _tracks(tracks, keys, frame, [value], lambda v: reduce_track(v, max(float(np.ptp(v)) * fraction, 1e-12), scalar_error))
 
 
 def reduce_rotation_tracks(tracks: DataFrame, keys: list[str], degrees: float, frame: str = "frame") -> DataFrame:
     """(keys, frame, qw..qz) of the kept frames."""
-    types = dict(tracks.dtypes)
-    cols = [*keys, frame, "qw", "qx", "qy", "qz"]
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(frame, ignore_index=True)
-        return p.iloc[reduce_track(p[["qw", "qx", "qy", "qz"]].to_numpy(float), degrees, rotation_error)]
-
-    return tracks.select(*cols).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in cols))
+    return _tracks(tracks, keys, frame, ["qw", "qx", "qy", "qz"], lambda q: reduce_track(q, degrees, rotation_error))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posegrid.functions import names
+from posegrid.operators.constraints import violations
 from posegrid.operators.hierarchy import flat, np_conjugate, np_multiply, np_rotate, walk
 
 UP = {"x": 0, "y": 1, "z": 2}
@@ -85,11 +87,20 @@ class Skeleton:
     parents: list[int]
     offsets: np.ndarray
     what: list[str] = field(default_factory=list)
+    ends: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, joints: DataFrame) -> "Skeleton":
-        rows = described(joints).orderBy("joint").collect()  # one skeleton's joints
-        return cls([r["name"] for r in rows], [r["parent"] for r in rows], np.array([[r["ox"], r["oy"], r["oz"]] for r in rows], float), [r["what"] for r in rows])
+        """From joint, name, parent, ox, oy, oz and, where there are end sites, ex, ey, ez."""
+        rows = sorted(joints.collect(), key=lambda r: r["joint"])  # one skeleton's joints
+        names_ = [r["name"] for r in rows]
+        ends = {r["joint"]: np.array([r["ex"], r["ey"], r["ez"]], float) for r in rows if r["ex"] is not None} if "ex" in joints.columns else {}
+        return cls(names_, [r["parent"] for r in rows], np.array([[r["ox"], r["oy"], r["oz"]] for r in rows], float), names.meanings_in(names_), ends)
+
+    @classmethod
+    def of_rig(cls, rig) -> "Skeleton":
+        ends = {j: np.array(e, float) for j, e in enumerate(rig.ends) if e is not None}
+        return cls(list(rig.names), list(rig.parents), np.asarray(rig.offsets, float), names.meanings_in(rig.names), ends)
 
     def rest(self) -> np.ndarray:
         n = len(self.names)
@@ -104,20 +115,12 @@ class Skeleton:
         def chain(j: int) -> float:
             return 0.0 if self.parents[j] < 0 else float(np.linalg.norm(self.offsets[j])) + chain(self.parents[j])
 
-        of = {meaning: j for j, meaning in enumerate(self.plain_meanings())}  # the last of equal ones
+        of = {meaning: j for j, meaning in enumerate(names.meanings(self.names))}  # the last of equal ones
         feet = [chain(of[f]) for f in ("left_foot", "right_foot") if f in of]
         human = chain(of["head"]) + float(np.mean(feet)) if feet and "head" in of else 0.0
-        extent = float(np.ptp(at[:, up]))
+        extent = float(np.ptp([*at[:, up], *(at[j, up] + e[up] for j, e in self.ends.items())]))
         return next((v for v in (human, extent) if v > 1e-8), float(np.linalg.norm(at - at[0], axis=1).max()))
 
-    def plain_meanings(self) -> list[str]:
-        """Meanings of the names alone; collars change nothing here."""
-        out = []
-        for n in self.names:
-            p = _plain(n).removeprefix(names.NAMESPACE)
-            out.append("spine" if p.startswith("spine") else f"twist:{p}" if "twist" in p else names.ALIASES.get(p, p))
-        return out
-
     def basis(self, joint: int, up: int) -> np.ndarray:
         """The rest frame of a joint: along its bone, and across it by the first usable hint."""
         at = self.rest()
@@ -203,22 +206,59 @@ class Profile:
         return out
 
 
-def build_profile(source: DataFrame, target: DataFrame, up: str = "y") -> Profile:
+def pairs_of(a: Skeleton, b: Skeleton) -> dict[int, tuple[int, str]]:
+    """``mapping`` of two skeletons that the driver holds: target joint to source joint and method."""
+    by_name = {names.plain(n): j for j, n in enumerate(a.names)}  # the last of equal ones
+    by_what: dict[str, list[int]] = {}
+    for j, w in enumerate(a.what):
+        by_what.setdefault(w, []).append(j)
+    spine, own = by_what.get("spine", []), [j for j, w in enumerate(b.what) if w == "spine"]
+    out = {}
+    for t, w in enumerate(b.what):
+        same = by_name.get(names.plain(b.names[t]))
+        single = by_what.get(w, []) if w != "spine" and not w.startswith("twist:") else []
+        if w == "spine" and spine:
+            out[t] = (spine[round(own.index(t) * (len(spine) - 1) / max(1, len(own) - 1))], "normalized_chain")  # half to even
+        elif same is not None and a.what[same] == w:
+            out[t] = (same, "exact_name")
+        elif len(single) == 1:
+            out[t] = (single[0], "semantic_alias")
+    if a.what[0] == b.what[0]:
+        out.setdefault(0, (0, "root_semantic"))
+    if b.what[0] == "root" and a.what[0] != "root":
+        out.pop(0, None)
+    return dict(sorted(out.items()))
+
+
+def core_of(a: Skeleton, b: Skeleton, pairs) -> tuple[int, int]:
+    """(shared, mapped): ``coverage`` of two skeletons that the driver holds."""
+    shared = {*names.CORE} & {*a.what} & {*b.what}
+    return len(shared), len(shared & {b.what[t] for t in pairs})
+
+
+def compile_profile(a: Skeleton, b: Skeleton, up: str = "y") -> Profile:
     """Pairs, basis changes and the ratio of heights. Equal plain names share their rest frame."""
-    a, b = Skeleton.of(source), Skeleton.of(target)
     pairs = {}
-    for r in mapping(source, target).orderBy("target").collect():  # one skeleton's joints
-        t, s = r["target"], r["source"]
-        if _plain(a.names[s]) == _plain(b.names[t]):
+    for t, (s, method) in pairs_of(a, b).items():
+        if names.plain(a.names[s]) == names.plain(b.names[t]):
             q = np.array([1.0, 0, 0, 0])
         else:
             q = matrix_quaternion(b.basis(t, UP[up]) @ a.basis(s, UP[up]).T)
-        pairs[t] = (s, q, r["method"])
+        pairs[t] = (s, q, method)
     return Profile(a, b, pairs, b.height(UP[up]) / a.height(UP[up]), UP[up])
 
 
-def _plain(name: str) -> str:
-    return "".join(c for c in name.rsplit(":", 1)[-1].casefold() if c.isascii() and c.isalnum())
+def build_profile(source: DataFrame, target: DataFrame, up: str = "y") -> Profile:
+    """The profile of two skeleton tables: both are read once, and everything else is done on the driver."""
+    return compile_profile(Skeleton.of(source), Skeleton.of(target), up)
+
+
+def transfer_violations(rows: DataFrame, source_joints: int, target_joints: int) -> DataFrame:
+    """``rows`` (target, source, bw..bz) with ``violations``: what keeps a transfer out of a compiled profile."""
+    c = F.col
+    unit = F.abs(F.sqrt(c("bw") * c("bw") + c("bx") * c("bx") + c("by") * c("by") + c("bz") * c("bz")) - 1) <= 1e-5
+    rules = {"target": (c("target") >= 0) & (c("target") < target_joints), "source": (c("source") >= 0) & (c("source") < source_joints), "basis": unit}
+    return rows.withColumn("violations", violations(rules))
 
 
 def retarget(poses: DataFrame, profile: Profile, keys=("clip", "frame")) -> DataFrame:
@@ -245,19 +285,73 @@ def retarget(poses: DataFrame, profile: Profile, keys=("clip", "frame")) -> Data
     return poses.select(*keys, "rotations", *(["translations"] if moving else [])).mapInArrow(run, schema)
 
 
-def contact_lock(rows: DataFrame, decay: float = 0.8) -> DataFrame:
-    """(clip, frame, correction): keeps a foot where it touched down.
+def retarget_poses(poses: DataFrame, profile: Profile, keys=("clip", "frame")) -> DataFrame:
+    """(keys, rotations, translations) of the target: a pose stays one row."""
+    moving = "translations" in poses.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r = flat(b.column(len(keys)), 4)
+            t = flat(b.column(len(keys) + 1), 3) if moving else np.broadcast_to(profile.source.offsets, (len(r), *profile.source.offsets.shape)).copy()
+            lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x[0].size, dtype=np.int32), np.ascontiguousarray(x).ravel()) for x in profile.run(r, t)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *lists], names=[*keys, "rotations", "translations"])
+
+    types = dict(poses.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", rotations array<double>, translations array<double>"
+    return poses.select(*keys, "rotations", *(["translations"] if moving else [])).mapInArrow(run, schema)
+
+
+def copy_rotations(poses: DataFrame, pairs: dict[int, int], joints: int, ratio: float) -> DataFrame:
+    """``poses`` with the rotations of ``pairs`` (target to source joint), others at rest, and ``root``: its position times ``ratio``.
+
+    Expressions alone: a pose's arrays are gathered where they lie.
+    """
+    rest = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    turned = F.concat(*[F.slice("rotations", pairs[j] * 4 + 1, 4) if j in pairs else rest for j in range(joints)])
+    root = F.transform(F.slice("translations", 1, 3), lambda v: v * ratio)
+    return poses.withColumn("root", root).withColumn("rotations", turned)
+
 
-    ``rows``: clip, frame, active, v. A true recurrence: each touch-down's anchor holds the
-    correction so far. A clip is one ordered array; clips are bounded.
+def lock_feet(active: np.ndarray, at: np.ndarray, decay: float = 0.8) -> np.ndarray:
+    """The corrections (F, 3) that keep feet where they touched down; ``active`` (F, feet), ``at`` (F, feet, 3).
+
+    A true recurrence: a touch-down's anchor holds the correction so far, and the feet on the ground are averaged.
     """
-    frames = rows.groupBy("clip").agg(F.sort_array(F.collect_list(F.struct("frame", "active", "v"))).alias("f"))
-    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("a"), F.lit(False).alias("on"), F.array().cast("array<double>").alias("out"))
+    out, c = np.zeros((len(at), at.shape[2])), np.zeros(at.shape[2])
+    anchor, before = np.zeros(at.shape[1:]), np.zeros(at.shape[1], bool)
+    for f, (on, p) in enumerate(zip(active, at, strict=True)):
+        if on.any():
+            down = on & ~before
+            anchor[down] = p[down] + c
+            c = (anchor[on] - p[on]).mean(0)
+        else:
+            c = c * decay
+        before, out[f] = on, c
+    return out
+
 
-    def step(s, f):
-        anchor = F.when(f["active"] & ~s["on"], f["v"] + s["c"]).otherwise(s["a"])
-        c = F.when(f["active"], anchor - f["v"]).otherwise(s["c"] * decay)
-        return F.struct(c.alias("c"), anchor.alias("a"), f["active"].alias("on"), F.concat(s["out"], F.array(c)).alias("out"))
+def foot_lock(rows: DataFrame, decay: float = 0.8) -> DataFrame:
+    """(clip, frame, cx, cy, cz) from (clip, frame, foot, active, x, y, z): one pass over each clip, which is one group.
+
+    Every frame has a row for each foot of its clip.
+    """
 
-    done = frames.select("clip", F.arrays_zip(F.col("f.frame").alias("frame"), F.aggregate("f", zero, step)["out"].alias("correction")).alias("z"))
-    return done.select("clip", F.inline("z").alias("frame", "correction"))
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["frame", "foot"])
+        feet = p["foot"].nunique()
+        c = lock_feet(p["active"].to_numpy().reshape(-1, feet), p[["x", "y", "z"]].to_numpy(float).reshape(-1, feet, 3), decay)
+        return pd.DataFrame({"clip": p["clip"].to_numpy()[::feet], "frame": p["frame"].to_numpy()[::feet], "cx": c[:, 0], "cy": c[:, 1], "cz": c[:, 2]})
+
+    types = dict(rows.dtypes)
+    schema = f"clip {types['clip']}, frame {types['frame']}, cx double, cy double, cz double"
+    return rows.select("clip", "frame", "foot", "active", "x", "y", "z").groupBy("clip").applyInPandas(run, schema)
+
+
+def contact_lock(rows: DataFrame, decay: float = 0.8) -> DataFrame:
+    """(clip, frame, correction) of one foot along one axis, from (clip, frame, active, v)."""
+    foot = rows.select("clip", "frame", F.lit(0).alias("foot"), "active", F.col("v").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return foot_lock(foot, decay).select("clip", "frame", F.col("cx").alias("correction"))

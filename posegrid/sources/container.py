@@ -18,6 +18,7 @@ SCHEMA = "skac.animation"
 SCHEMA_VERSION = "1.0.0"
 CODEC = "key_reduced_smallest_three_v1"
 PREFIX = struct.Struct("<8sHHIIQQII")
+MAJOR, MINOR = 1, 0
 ZLIB = 1
 MOST_METADATA = 8 << 20
 MOST_PAYLOAD = 512 << 20
@@ -77,10 +78,10 @@ class Cursor:
         self.at += n
         return self.data[self.at - n : self.at]
 
-    def indices(self, frames: int) -> np.ndarray:
+    def indices(self, frames: int, count: int) -> np.ndarray:
         (n,) = struct.unpack("<I", self.take(4))
-        if not 1 <= n <= frames:
-            raise ClipError("a track has an impossible number of keys")
+        if not 1 <= n <= frames or n != count:
+            raise ClipError("a track has an impossible number of keys, or not the declared one")
         steps = []
         for _ in range(n):
             value = shift = 0
@@ -146,10 +147,8 @@ def encode(clip: Clip, preset: Preset = PRESETS["high"]) -> bytes:
         move_keys.append(len(keys))
         lows.append(low)
         highs.append(high)
-    raw = bytes(turns + moves)
-    payload = zlib.compress(raw, p.level)
     n = len(clip.rotations)
-    meta = canonical({
+    document = {
         "schema": SCHEMA, "schema_version": SCHEMA_VERSION, "frame_count": n, "frame_time": clip.frame_time, "duration_seconds": (n - 1) * clip.frame_time,
         "skeleton": rig.document(), "skeleton_sha256": rig.signature(),
         "codec": {
@@ -158,16 +157,22 @@ def encode(clip: Clip, preset: Preset = PRESETS["high"]) -> bytes:
             "rotation_joints": rig.turning(), "rotation_key_counts": turn_keys, "translation_components": [list(c) for c in rig.moving()], "translation_key_counts": move_keys,
             "translation_minima": lows, "translation_maxima": highs, "rotation_payload_bytes": len(turns), "translation_payload_bytes": len(moves), "compression": "zlib",
         },
-    }).encode()
-    return PREFIX.pack(MAGIC, 1, 0, ZLIB, len(meta), len(payload), len(raw), zlib.crc32(meta), zlib.crc32(payload)) + meta + payload
+    }
+    return framed(document, bytes(turns + moves), p.level)
+
+
+def framed(document: dict, raw: bytes, level: int = 9) -> bytes:
+    """The file of a metadata document and a raw payload."""
+    meta, payload = canonical(document).encode(), zlib.compress(raw, level)
+    return PREFIX.pack(MAGIC, MAJOR, MINOR, ZLIB, len(meta), len(payload), len(raw), zlib.crc32(meta), zlib.crc32(payload)) + meta + payload
 
 
 def opened(data: bytes) -> tuple[dict, bytes]:
     """The checked metadata and inflated payload; lengths and CRCs come before anything is inflated."""
     if len(data) < PREFIX.size:
         raise ClipError("the file is shorter than its prefix")
-    magic, major, _, flags, n_meta, n_payload, n_raw, crc_meta, crc_payload = PREFIX.unpack_from(data)
-    if magic != MAGIC or major != 1 or flags != ZLIB:
+    magic, major, minor, flags, n_meta, n_payload, n_raw, crc_meta, crc_payload = PREFIX.unpack_from(data)
+    if magic != MAGIC or (major, minor) != (MAJOR, MINOR) or flags != ZLIB:
         raise ClipError("unknown magic, version or flags")
     if n_meta > MOST_METADATA or n_raw > MOST_PAYLOAD:
         raise ClipError("the file declares too large a size")
@@ -227,8 +232,10 @@ def _decode(document: dict, raw: bytes) -> Clip:
     rotations[..., 0] = 1
     translations = np.repeat(rig.offsets[None], n, 0)
     part, b = Cursor(raw), c["rotation_bits"]
-    for j in rig.turning():
-        keys = part.indices(n)
+    if len(c["rotation_key_counts"]) != len(rig.turning()) or len(c["translation_key_counts"]) != len(rig.moving()):
+        raise ClipError("there is not a count of keys for each track")
+    for j, count in zip(rig.turning(), c["rotation_key_counts"], strict=True):
+        keys = part.indices(n, count)
         omitted, *three = unpack_fields(part.take((len(keys) * (2 + 3 * b) + 7) // 8), len(keys), [2, b, b, b])
         q = restored(omitted, np.stack(three, 1) / ((1 << b) - 1) * (2 * LIMIT) - LIMIT)
         x, y, u = spread(keys, n)
@@ -236,8 +243,8 @@ def _decode(document: dict, raw: bytes) -> Clip:
     if part.at != c["rotation_payload_bytes"]:
         raise ClipError("the rotation section does not have its declared size")
     b = c["translation_bits"]
-    for (j, a), low, high in zip(rig.moving(), c["translation_minima"], c["translation_maxima"], strict=True):
-        keys = part.indices(n)
+    for (j, a), low, high, count in zip(rig.moving(), c["translation_minima"], c["translation_maxima"], c["translation_key_counts"], strict=True):
+        keys = part.indices(n, count)
         (code,) = unpack_fields(part.take((len(keys) * b + 7) // 8), len(keys), [b])
         v = low + code / ((1 << b) - 1) * (high - low)
         x, y, u = spread(keys, n)
