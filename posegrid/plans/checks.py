@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import random
+
 from pyspark.sql import functions as F
 
 from posegrid.functions import quat as Q
@@ -10,7 +11,7 @@ from posegrid.operators import constraints as C
 from posegrid.operators import scene
 from posegrid.plans import views as V
 from posegrid.plans.registry import m, micro, query, using
-from posegrid.plans.windows import SPLITS, SQ, mse, split_report
+from posegrid.plans.windows import METRICS, NINE, SPLITS, nine_metrics, split_report
 
 DATASETS, METHODS = ["Mixamo", "Manny", "SMPL", "MetaHuman"], ["copy", "model", "manual"]
 
@@ -104,16 +105,27 @@ def flt11(spark, sf):
 
 
 _NEED = ["input", "output", "preset"]
+_STEP = "CASE s WHEN '' THEN 0 WHEN '.' THEN 0 WHEN '..' THEN -1 ELSE 1 END"
 
 
-@query("FLT12", "WITH a AS (SELECT event_id, list_filter([CASE WHEN event_id % 3 > 0 THEN 'input' END, CASE WHEN event_id % 5 > 0 THEN 'output' END, 'preset', CASE WHEN event_id % 7 = 0 THEN event_type END], lambda x: x IS NOT NULL) AS given FROM events)\nSELECT event_id, array_to_string(list_filter(['input', 'output', 'preset'], lambda x: NOT list_contains(given, x)), ',') AS missing, array_to_string(list_filter(given, lambda x: NOT list_contains(['input', 'output', 'preset'], x)), ',') AS unknown FROM a")
+@query("FLT12", f"""WITH a AS (SELECT event_id, list_filter([CASE WHEN event_id % 3 > 0 THEN 'input' END, CASE WHEN event_id % 5 > 0 THEN 'output' END, 'preset', CASE WHEN event_id % 7 = 0 THEN event_type END], lambda x: x IS NOT NULL) AS given,
+  CASE event_id % 6 WHEN 0 THEN '/abs/' || event_type WHEN 1 THEN 'a/../../' || event_type WHEN 2 THEN 'a/./b/../' || event_type WHEN 3 THEN '' ELSE 'out/' || event_type END AS path, event_id % 4 = 0 AS there, event_id % 8 = 0 AS overwrite FROM events),
+p AS (SELECT a.*, list_transform(string_split(path, '/'), lambda s: {_STEP}) AS steps FROM a),
+q AS (SELECT p.*, path = '' OR starts_with(path, '/') OR list_min(list_transform(range(1, len(steps) + 1), lambda i: list_sum(steps[1:i]))) < 0 AS outside FROM p)
+SELECT event_id, array_to_string(list_filter(['input', 'output', 'preset'], lambda x: NOT list_contains(given, x)), ',') AS missing, array_to_string(list_filter(given, lambda x: NOT list_contains(['input', 'output', 'preset'], x)), ',') AS unknown,
+  outside, NOT outside AND there AND NOT overwrite AS kept_from_overwriting FROM q""")
 def flt12(spark, sf):
-    """Argument names that are missing and that nobody asked for."""
+    """Argument names that are missing and that nobody asked for, output paths that leave the workspace, and those that may not be overwritten."""
     k = F.col("event_id")
     given = F.array_compact(F.array(F.when(k % 3 > 0, "input"), F.when(k % 5 > 0, "output"), F.lit("preset"), F.when(k % 7 == 0, F.col("event_type"))))
     need = F.array(*map(F.lit, _NEED))
-    rows = V.table(spark, sf, "events").select("event_id", given.alias("g"))
-    return rows.select("event_id", F.array_join(F.array_except(need, F.col("g")), ",").alias("missing"), F.array_join(F.array_except(F.col("g"), need), ",").alias("unknown"))
+    at = lambda before: F.concat(F.lit(before), "event_type")
+    path = F.when(k % 6 == 0, at("/abs/")).when(k % 6 == 1, at("a/../../")).when(k % 6 == 2, at("a/./b/../")).when(k % 6 == 3, "").otherwise(at("out/"))
+    rows = V.table(spark, sf, "events").select("event_id", given.alias("g"), (~C.inside_workspace(path)).alias("outside"), (k % 4 == 0).alias("there"), (k % 8 == 0).alias("overwrite"))
+    return rows.select(
+        "event_id", F.array_join(F.array_except(need, F.col("g")), ",").alias("missing"), F.array_join(F.array_except(F.col("g"), need), ",").alias("unknown"),
+        "outside", (~F.col("outside") & F.col("there") & ~F.col("overwrite")).alias("kept_from_overwriting"),
+    )
 
 
 @query("SET3", "SELECT DISTINCT p_partkey AS part FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40")
@@ -158,12 +170,14 @@ def gate3(spark, sf):
     return clips.select("clip", F.when(h(5) == h(3), "same_character").otherwise("different_character").alias("kind"))
 
 
-@query("EVAL1", using("pred_truth") + ",\nme AS (SELECT clip, " + f"avg({SQ}/3)/(1.8*1.8) AS mse FROM pred_truth GROUP BY clip), sp AS (SELECT CASE WHEN clip % 2 = 0 THEN 'seen' ELSE 'unseen' END || '_character_' || CASE WHEN clip % 3 = 0 THEN 'seen' ELSE 'unseen' END || '_motion' AS split, mse FROM me), g AS (SELECT coalesce(split, 'overall') AS split, count(*) AS n, avg(mse) AS mse FROM sp GROUP BY GROUPING SETS ((split), ()))\nSELECT split, n, {m('mse', 'mse')} FROM g")
+_EV = "ev AS (SELECT CASE WHEN clip % 2 = 0 THEN 'seen' ELSE 'unseen' END || '_character_' || CASE WHEN clip % 3 = 0 THEN 'seen' ELSE 'unseen' END || '_motion' AS split, * FROM nine), gr AS (SELECT coalesce(split, 'overall') AS split, count(*) AS n, " + ", ".join(f"avg({c}) AS {c}" for c in METRICS) + " FROM ev GROUP BY GROUPING SETS ((split), ())), every AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in [*SPLITS, "overall"]) + ") v(split))"
+
+
+@query("EVAL1", NINE.rstrip() + f",\n{_EV}\nSELECT every.split, coalesce(n, 0) AS n, " + ", ".join(m(c, c, "1e4") for c in METRICS) + " FROM every LEFT JOIN gr ON gr.split = every.split")
 def eval1(spark, sf):
-    """Clips' errors and their means over the groups of an evaluation, in one plan."""
-    rows = V.pred_truth(spark, sf).groupBy("clip").agg(mse(1.8).alias("mse"))
-    rows = rows.select(V.split(F.col("clip") % 2 == 0, F.col("clip") % 3 == 0).alias("split"), "mse", F.lit(None).cast("double").alias("geometry"))
-    return split_report(rows, SPLITS).where("n > 0").select("split", "n", micro(F.col("mse"), "mse"))
+    """All nine metrics of every clip and their means over the groups of an evaluation, in one plan."""
+    rows = nine_metrics(spark, sf).withColumn("split", V.split(F.col("clip") % 2 == 0, F.col("clip") % 3 == 0))
+    return split_report(rows, SPLITS, METRICS).select("split", "n", *[micro(F.col(c), c, 1e4) for c in METRICS])
 
 
 @query("SET1", "SELECT event_type AS name, count(DISTINCT user_id % 8) AS characters FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 8) = 8")
@@ -195,11 +209,12 @@ def ord2(spark, sf):
     return V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
 
 
-@query("ORD4")
+_DRAWN = random.Random(20260801).sample(range(25), 8)  # the places of a seeded sample of the 25 nations
+
+
+@query("ORD4", f"SELECT n_name AS name FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS place FROM nation) WHERE place IN ({', '.join(map(str, _DRAWN))})")
 def ord4(spark, sf):
     """A seeded sample of names without replacement, drawn by the driver from a short sorted list."""
-    import random
-
     names = sorted(r[0] for r in V.table(spark, sf, "nation").select("n_name").collect())  # a short dimension
     return spark.createDataFrame([(n,) for n in random.Random(20260801).sample(names, 8)], "name string")
 
@@ -228,18 +243,24 @@ def src10(spark, sf):
 def snk7(spark, sf):
     """The rows of a complete matrix; an incomplete one is an error."""
     cells = V.pair_score(spark, sf).distinct().select("source", "target", "clip").distinct().groupBy("source", "target").agg(F.count("*").alias("clips"))
-    whole = F.count("*").over(Window.partitionBy()) == F.lit(16)  # a cell a pair of characters
-    return cells.withColumn("ok", F.when(whole, True).otherwise(F.raise_error(F.lit("the matrix is not complete")).cast("boolean"))).where("ok").drop("ok")
+    sizes = cells.agg(F.count("*").alias("have"), (F.count_distinct("source") * F.count_distinct("target")).alias("due"))
+    cells = cells.join(F.broadcast(sizes))  # one row
+    whole = F.col("have") == F.col("due")
+    return cells.withColumn("ok", F.when(whole, True).otherwise(F.raise_error(F.lit("the matrix is not complete")).cast("boolean"))).where("ok").drop("ok", "have", "due")
 
 
-@query("SNK9", "WITH f AS (SELECT 'docs/' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS sha FROM documents WHERE text IS NOT NULL)\nSELECT count(*) AS files, sum(size)::BIGINT AS bytes, sha256(string_agg(path || chr(31) || size || chr(31) || sha || chr(10), '' ORDER BY path)) AS tree FROM f")
+@query("SNK9", """WITH f AS (SELECT 'docs/' || doc_id AS path, octet_length(encode(coalesce(text, ''))) AS size, sha256(coalesce(text, '')) AS sha FROM documents),
+l AS (SELECT substr(sha256(path), 1, 4) AS leaf, count(*) AS files, sum(size)::BIGINT AS bytes, sha256(string_agg(path || chr(31) || size || chr(31) || sha || chr(10), '' ORDER BY path)) AS sha FROM f GROUP BY 1)
+SELECT sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, sha256(string_agg(leaf || sha || chr(10), '' ORDER BY leaf)) AS tree FROM l""")
 def snk9(spark, sf):
-    """Sizes and digests of all files and the digest of the sorted list; files go through the shuffle as digests."""
-    rows = V.table(spark, sf, "documents").where("text IS NOT NULL")
-    rows = rows.select(F.concat(F.lit("docs/"), "doc_id").alias("path"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha"))
+    """Sizes and digests of all files as a tree of two levels: a leaf is the sorted list of the files whose path
+    hashes to it, the root the sorted list of the 65,536 leaves at most. So no list of all files is made."""
+    rows = V.table(spark, sf, "documents").select(F.concat(F.lit("docs/"), "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("path", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha"))
     line = F.concat("path", F.lit(chr(31)), F.col("size").cast("string"), F.lit(chr(31)), "sha", F.lit("\n"))
-    # a digest of a whole list needs the list: a short line a file
-    return rows.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), ""), 256).alias("tree"))
+    sorted_ = lambda key, text: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), text.alias("t")))), lambda x: x["t"]), ""), 256)
+    leaves = rows.groupBy(F.substring(F.sha2("path", 256), 1, 4).alias("leaf")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), sorted_("path", line).alias("sha"))
+    return leaves.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), sorted_("leaf", F.concat("leaf", "sha", F.lit("\n"))).alias("tree"))
 
 
 @query("AGG26", """WITH o AS (SELECT l_orderkey AS scene, ['ARMATURE', 'MESH', 'ACTION', 'IMAGE'][l_linenumber % 4 + 1] AS kind, l_orderkey || '-' || l_linenumber AS name, CAST(l_quantity AS BIGINT) AS n,

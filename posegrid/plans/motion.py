@@ -12,9 +12,9 @@ from posegrid.operators import keys as K
 from posegrid.operators import resample
 from posegrid.operators import retarget as R
 from posegrid.plans import views as V
-from posegrid.plans.projections import ALIAS_SQL, meaning_sql
-from posegrid.plans.registry import ENGINE, TOY, m, micro, query, skeleton, using
-from posegrid.plans.windows import _CONTACT, contact
+from posegrid.plans.projections import ALIAS_SQL, S3, meaning_sql
+from posegrid.plans.registry import BARE, BARE_ENDS, ENGINE, TOY, m, micro, query, skeleton, skeleton_sql, using
+from posegrid.plans.windows import foot_contact
 
 PARENTS = [p for _, p, _ in TOY]
 OFFSETS = [o for _, _, o in TOY]
@@ -31,6 +31,13 @@ def poses(spark, sf):
     return V.clip_frame(spark, sf).select("clip", "frame", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), unit)).alias("rotations"))
 
 
+def moving_poses(spark, sf):
+    """``poses`` with translations: the rest offsets, the root moving along."""
+    rest = [F.lit(float(v)) for o in OFFSETS for v in o]
+    rest[0] = rest[0] + F.col("frame") * F.lit(0.25)
+    return poses(spark, sf).withColumn("translations", F.array(*rest))
+
+
 def _rot(g, v):
     """SQL of a vector turned by a quaternion, from component names."""
     (w, x, y, z), (a, b, c) = g, v
@@ -45,15 +52,22 @@ def _mul(a, b):
 
 G, LQ, O = ["f.gw", "f.gx", "f.gy", "f.gz"], ["p.qw", "p.qx", "p.qy", "p.qz"], ["t.ox", "t.oy", "t.oz"]
 _g, _v = _mul(G, LQ), _rot(G, O)
-FK = using("pose_quat", "toy", recursive=True) + f""",
-fk AS (
-  SELECT p.clip, p.frame, p.joint, p.qw AS gw, p.qx AS gx, p.qy AS gy, p.qz AS gz, t.ox AS x, t.oy AS y, t.oz AS z FROM pose_quat p JOIN toy t ON p.joint = t.joint WHERE t.parent = -1
+
+
+def fk_sql(name: str, quats: str) -> str:
+    """Global rotations and positions of the toy skeleton from a view of local rotations."""
+    return f""",
+{name} AS (
+  SELECT p.clip, p.frame, p.joint, p.qw AS gw, p.qx AS gx, p.qy AS gy, p.qz AS gz, t.ox AS x, t.oy AS y, t.oz AS z FROM {quats} p JOIN toy t ON p.joint = t.joint WHERE t.parent = -1
   UNION ALL
   SELECT f.clip, f.frame, CAST(t.joint AS INTEGER), {_g[0]}, {_g[1]}, {_g[2]}, {_g[3]}, f.x+{_v[0]}, f.y+{_v[1]}, f.z+{_v[2]}
-  FROM fk f JOIN toy t ON t.parent = f.joint JOIN pose_quat p ON p.clip = f.clip AND p.frame = f.frame AND p.joint = t.joint
+  FROM {name} f JOIN toy t ON t.parent = f.joint JOIN {quats} p ON p.clip = f.clip AND p.frame = f.frame AND p.joint = t.joint
 )"""
 
 
+FK = using("pose_quat", "toy", recursive=True) + fk_sql("fk", "pose_quat")
+
+
 def kinematics(spark, sf):
     return H.forward_kinematics(poses(spark, sf), PARENTS, OFFSETS)
 
@@ -70,12 +84,11 @@ def rec4(spark, sf):
 
 @query("JON8", FK + "\nSELECT a.clip, a.joint, " + m("avg(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)))", "bone", "1e5") + " FROM fk a JOIN toy t ON a.joint = t.joint JOIN fk b ON b.joint = t.parent AND a.clip = b.clip AND a.frame = b.frame GROUP BY a.clip, a.joint")
 def jon8(spark, sf):
-    rows = kinematics(spark, sf).select("clip", "frame", "joint", "x", "y", "z")
-    parents = F.broadcast(skeleton(spark, TOY).select("joint", "parent"))
-    up = rows.select("clip", "frame", F.col("joint").alias("parent"), *[F.col(c).alias("p" + c) for c in "xyz"])
-    both = rows.join(parents, "joint").join(up, ["clip", "frame", "parent"])
-    d = F.sqrt(sum(((F.col(c) - F.col("p" + c)) * (F.col(c) - F.col("p" + c)) for c in "yz"), (F.col("x") - F.col("px")) * (F.col("x") - F.col("px"))))
-    return both.groupBy("clip", "joint").agg(micro(F.avg(d), "bone", 1e5))
+    """Bones' lengths: a joint and its parent stand in one pose, so the join stays within the row."""
+    frames = H.global_positions(poses(spark, sf), PARENTS, OFFSETS)
+    at = lambda j, k: F.get("positions", j * 3 + k)
+    bones = F.array(*[F.struct(F.lit(j).alias("joint"), F.sqrt(sum(((at(F.lit(j), k) - at(F.lit(p), k)) ** 2 for k in (1, 2)), (at(F.lit(j), 0) - at(F.lit(p), 0)) ** 2)).alias("d")) for j, p in enumerate(PARENTS) if p >= 0])
+    return frames.select("clip", F.inline(bones)).groupBy("clip", "joint").agg(micro(F.avg("d"), "bone", 1e5))
 
 
 UPSQL = ",\nup AS (SELECT joint, joint AS ancestor, parent AS next, 0 AS depth FROM toy UNION ALL SELECT u.joint, s.joint, s.parent, u.depth + 1 FROM up u JOIN toy s ON s.joint = u.next)"
@@ -94,9 +107,17 @@ def rec3(spark, sf):
     return up.where("joint IN (7, 13)").select(F.col("ancestor").alias("joint")).distinct().orderBy("joint")
 
 
-@query("AGG21", using("toy", recursive=True) + REST + "\nSELECT " + m("(SELECT len FROM rest WHERE joint = 4) + (SELECT len FROM rest WHERE joint = 13)", "height"))
+_BARE = "bare AS (SELECT v.*, e.ey FROM (" + skeleton_sql(BARE) + ") v LEFT JOIN (VALUES " + ", ".join(f"({j}, {e[1]}::DOUBLE)" for j, e in BARE_ENDS.items()) + ") e(j, ey) ON e.j = v.joint)"
+_BUP = ",\nbup AS (SELECT joint, joint AS ancestor, parent AS next FROM bare UNION ALL SELECT u.joint, s.joint, s.parent FROM bup u JOIN bare s ON s.joint = u.next),\nbrest AS (SELECT u.joint, sum(s.oy) AS y FROM bup u JOIN bare s ON s.joint = u.ancestor GROUP BY u.joint),\ntip AS (SELECT y FROM brest UNION ALL SELECT y + ey FROM brest JOIN bare USING (joint) WHERE ey IS NOT NULL)"
+
+
+@query("AGG21", using("toy", recursive=True) + REST + f",\n{_BARE}{_BUP}\nSELECT 'toy' AS skeleton, " + m("(SELECT len FROM rest WHERE joint = 4) + (SELECT len FROM rest WHERE joint = 13)", "height") + " UNION ALL SELECT 'bare', " + m("max(y) - min(y)", "height") + " FROM tip")
 def agg21(spark, sf):
-    return H.skeleton_height(spark, skeleton(spark, TOY)).select(micro(F.col("height"), "height"))
+    """Heights: of a humanoid by its chains, of other skeletons by their extent, end sites included."""
+    ends = [(j, *BARE_ENDS.get(j, (None,) * 3)) for j in range(len(BARE))]
+    bare = skeleton(spark, BARE).join(spark.createDataFrame(ends, "joint int, ex double, ey double, ez double"), "joint")
+    of = lambda label, joints: H.skeleton_height(spark, joints).select(F.lit(label).alias("skeleton"), micro(F.col("height"), "height"))
+    return of("toy", skeleton(spark, TOY)).unionByName(of("bare", bare))
 
 
 # --- keys -------------------------------------------------------------------------------------
@@ -132,18 +153,49 @@ def cod2(spark, sf):
     return scalar_keys(spark, sf).join(bounds, "clip").select("clip", "frame", codes.quantize(F.col("v"), F.col("lo"), F.col("hi"), 12).alias("code"))
 
 
-@query("REC5")
+def _slerp_error() -> str:
+    """The error in degrees of frame i of a track q against the slerp of its frames a and b, given d, th, sg of these ends."""
+    wa = "CASE WHEN d > 0.9995 THEN 1 - (i - a)::DOUBLE / (b - a) ELSE sin((1 - (i - a)::DOUBLE / (b - a)) * th) / sin(th) END"
+    wb = "CASE WHEN d > 0.9995 THEN (i - a)::DOUBLE / (b - a) ELSE sin((i - a)::DOUBLE / (b - a) * th) / sin(th) END * sg"
+    part = lambda k: f"(({wa}) * q[a+1][{k}] + ({wb}) * q[b+1][{k}])"
+    dot = " + ".join(f"q[i+1][{k}] * {part(k)}" for k in (1, 2, 3, 4))
+    size = " + ".join(f"{part(k)} * {part(k)}" for k in (1, 2, 3, 4))
+    return f"degrees(2 * acos(least(1.0::DOUBLE, abs({dot}) / sqrt({size}))))"
+
+
+TURN_DEGREES = 60.0
+_DOT = "(q[a+1][1]*q[b+1][1] + q[a+1][2]*q[b+1][2] + q[a+1][3]*q[b+1][3] + q[a+1][4]*q[b+1][4])"
+KEYS5 = using("pose_quat", recursive=True) + f""",
+tq AS (SELECT clip, joint, list([qw, qx, qy, qz] ORDER BY frame) AS q, count(*)::INTEGER AS n FROM pose_quat GROUP BY clip, joint),
+seg5 AS (
+  SELECT clip, joint, 0 AS a, n - 1 AS b FROM tq WHERE n > 1 AND list_max(list_transform(q, lambda x: degrees(2 * acos(least(1.0::DOUBLE, abs(x[1]*q[1][1] + x[2]*q[1][2] + x[3]*q[1][3] + x[4]*q[1][4])))))) > {TURN_DEGREES}
+  UNION ALL
+  SELECT clip, joint, CASE WHEN k = 0 THEN a ELSE w END, CASE WHEN k = 0 THEN w ELSE b END FROM (
+    SELECT clip, joint, a, b, list_max(e) AS e, CAST(a + list_position(e, list_max(e)) AS INTEGER) AS w FROM (
+      SELECT clip, joint, a, b, list_transform(range(a + 1, b), lambda i: {_slerp_error()}) AS e FROM (
+        SELECT s.clip, s.joint, s.a, s.b, t.q, least(1.0::DOUBLE, abs({_DOT})) AS d, acos(least(1.0::DOUBLE, abs({_DOT}))) AS th, CASE WHEN {_DOT} < 0 THEN -1 ELSE 1 END AS sg
+        FROM seg5 s JOIN tq t ON s.clip = t.clip AND s.joint = t.joint WHERE s.b > s.a + 1)))
+  x, (VALUES (0), (1)) y(k) WHERE e > {TURN_DEGREES}
+),
+key5 AS (SELECT clip, joint, 0 AS frame FROM tq UNION SELECT clip, joint, a FROM seg5 UNION SELECT clip, joint, b FROM seg5)
+"""
+
+
+def rotation_keys(spark, sf):
+    return K.reduce_rotation_tracks(V.pose_quat(spark, sf), ["clip", "joint"], TURN_DEGREES)
+
+
+@query("REC5", KEYS5 + "SELECT clip, joint, CAST(frame AS INTEGER) AS frame FROM key5")
 def rec5(spark, sf):
-    """Rotation keys at one degree; which frames stay depends on the last bits of slerp."""
-    return K.reduce_rotation_tracks(V.pose_quat(spark, sf), ["clip", "joint"], 1.0).select("clip", "joint", "frame")
+    """Rotation keys; the tables' poses are random, so the bound is wide to let frames go."""
+    return rotation_keys(spark, sf).select("clip", "joint", "frame")
 
 
-@query("COD1")
+@query("COD1", KEYS5.rstrip() + S3.replace("FROM pose_quat)", "FROM pose_quat JOIN key5 USING (clip, joint, frame))").rstrip() + "\nSELECT clip, joint, count(*) AS keys, CAST(ceil(count(*) * 50 / 8.0) AS BIGINT) AS bytes, sum(c[1])::BIGINT AS check FROM three GROUP BY clip, joint")
 def cod1(spark, sf):
     """Rotation keys with their smallest-three codes and the size of their section."""
     omitted, three = codes.smallest_three(Q.quat(), 16)
-    rows = K.reduce_rotation_tracks(V.pose_quat(spark, sf), ["clip", "joint"], 1.0)
-    rows = rows.select("clip", "joint", "frame", omitted.alias("omitted"), three.alias("codes"))
+    rows = rotation_keys(spark, sf).select("clip", "joint", "frame", omitted.alias("omitted"), three.alias("codes"))
     return rows.groupBy("clip", "joint").agg(F.count("*").alias("keys"), codes.packed_bytes(F.count("*"), 50).alias("bytes"), F.sum(F.get("codes", F.lit(0))).alias("check"))
 
 
@@ -266,9 +318,7 @@ def ret5(spark, sf):
 def rec7(spark, sf):
     """Global rotations of the driven joints: the target's own walk over its local rotations gives them back."""
     p = profile(spark)
-    local = R.retarget(poses(spark, sf), p).groupBy("clip", "frame").agg(F.sort_array(F.collect_list(F.struct("joint", "qw", "qx", "qy", "qz"))).alias("a"))  # a skeleton a frame
-    flat = local.select("clip", "frame", F.flatten(F.transform("a", lambda s: F.array(s["qw"], s["qx"], s["qy"], s["qz"]))).alias("rotations"))
-    g = H.forward_kinematics(flat, p.target.parents, p.target.offsets)
+    g = H.forward_kinematics(R.retarget_poses(poses(spark, sf), p), p.target.parents, p.target.offsets)
     return g.where(F.col("joint").isin(*p.pairs)).select("clip", "frame", "joint", *[micro(F.col(f"g{c}"), f"d{c}", 1e5) for c in "wxyz"])
 
 
@@ -279,17 +329,36 @@ def ret2(spark, sf):
     return spark.createDataFrame([(len(ways), ways.count("exact_name"), ways.count("normalized_chain"))], "pairs long, exact long, chain long")
 
 
-@query("RET3")
+def _rest_axes():
+    """The engine's rest frames, worked out by hand from its offsets: where the bone points (x) and the way across (z)."""
+    r = lambda *v: np.array(v, float) / np.linalg.norm(v)
+    X, Y, Z = np.eye(3)
+    bone = {0: Y, 1: Y, 2: Y, 3: Y, 4: r(0, 1.8, 0.6), 5: Y, 6: Y, 7: X, 8: X, 9: X, 10: -X, 11: -X, 12: -X, 13: -Y, 14: r(0, -4.8, 0.6), 15: r(0, -4.8, 0.6), 16: -Y, 17: -Y}
+    # a joint that goes on as it came looks to its other bones first, then to the axes
+    hint = {0: [X], 1: [r(1.2, -0.6, 0), X], 2: [X], 3: [X], 4: [Y], 5: [r(0, 1.8, 0.6)], 6: [X], 7: [r(1.8, 1.2, 0)], 8: [Y], 9: [Y], 10: [r(-1.8, 1.2, 0)], 11: [Y], 12: [Y], 13: [r(1.2, -0.6, 0)], 14: [-Y], 15: [X], 16: [r(-1.2, -0.6, 0)], 17: [X]}
+    for j, x in bone.items():
+        z = np.cross(x, hint[j][0])
+        z = z / np.linalg.norm(z)
+        yield j, np.stack([x, np.cross(z, x), z], axis=1)
+
+
+@query("RET3", "SELECT * FROM (VALUES " + ", ".join(f"({j}, " + ", ".join(f"CAST({round(float(v) * 1e6)} AS BIGINT)" for v in f.ravel()) + ")" for j, f in _rest_axes()) + ") v(joint, " + ", ".join(f"m{i}{k}" for i in range(3) for k in range(3)) + ")")
 def ret3(spark, sf):
     """The rest frames of the engine's joints as columns x, y, z of a matrix."""
     t = R.Skeleton.of(skeleton(spark, ENGINE))
-    rows = [(j, *map(float, t.basis(j, 1).ravel())) for j in range(len(t.names))]
-    return spark.createDataFrame(rows, "joint int, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)))
+    rows = [(j, *(int(round(float(v) * 1e6)) for v in t.basis(j, 1).ravel())) for j in range(len(t.names))]
+    return spark.createDataFrame(rows, "joint int, " + ", ".join(f"m{i}{j} long" for i in range(3) for j in range(3)))
 
 
-@query("RET4", "SELECT 0::BIGINT AS problems")
+@query("RET4", "WITH t AS (SELECT p_partkey AS id, CAST(p_partkey % 20 AS INTEGER) AS target, CAST(p_size % 18 - 1 AS INTEGER) AS source, CASE WHEN p_partkey % 7 = 0 THEN 1.1 ELSE 0.8 END::DOUBLE AS bw, 0.6::DOUBLE AS bx FROM part)\nSELECT id, concat_ws(',', CASE WHEN target >= 18 THEN 'target' END, CASE WHEN source < 0 OR source >= 16 THEN 'source' END, CASE WHEN abs(sqrt(bw*bw+bx*bx) - 1) > 1e-5 THEN 'basis' END) AS violations FROM t")
 def ret4(spark, sf):
-    return spark.createDataFrame([(len(profile(spark).problems()),)], "problems long")
+    """What keeps transfers out of a compiled profile; the parts make up transfers, some out of range or with a basis that is no rotation."""
+    k, zero = F.col("p_partkey"), F.lit(0.0)
+    rows = V.table(spark, sf, "part").select(
+        k.alias("id"), (k % 20).cast("int").alias("target"), (F.col("p_size") % 18 - 1).cast("int").alias("source"),
+        F.when(k % 7 == 0, 1.1).otherwise(0.8).alias("bw"), F.lit(0.6).alias("bx"), zero.alias("by"), zero.alias("bz"),
+    )
+    return R.transfer_violations(rows, len(TOY), len(ENGINE)).select("id", F.array_join("violations", ",").alias("violations"))
 
 
 @query("RET6", RET5 + "SELECT * FROM (" + _RET_OUT + ") WHERE frame = 3")
@@ -299,10 +368,11 @@ def ret6(spark, sf):
     return rows.select("clip", "frame", "joint", *[micro(F.col(f"q{c}"), f"q{c}", 1e5) for c in "wxyz"])
 
 
-@query("RET7", using("clip_frame") + "\nSELECT clip, frame, true AS agree FROM clip_frame")
+@query("RET7", RET5 + "SELECT clip, frame, CAST(joint AS INTEGER) AS joint, " + ", ".join([m("1-2*(dy*dy+dz*dz)", "m00", "1e5"), m("2*(dx*dy+dw*dz)", "m10", "1e5"), m("2*(dx*dz-dw*dy)", "m20", "1e5"), m("1-2*(dx*dx+dy*dy)", "m22", "1e5")]) + " FROM w WHERE driven")
 def ret7(spark, sf):
-    """Quaternion and matrix forms of the retarget agree to 1e-9 in every frame."""
+    """Global rotations of the driven joints by matrix products, the reference form of the retarget."""
     p = profile(spark)
+    driven = sorted(p.pairs)
 
     def run(batches):
         import pyarrow as pa
@@ -310,40 +380,45 @@ def ret7(spark, sf):
         for b in batches:
             if not b.num_rows:
                 continue
-            r = H.flat(b.column(2), 4)
-            q, _ = p.run(r, np.broadcast_to(p.source.offsets, (len(r), *p.source.offsets.shape)))
-            g, _ = H.walk(p.target.parents, q, np.zeros((*q.shape[:2], 3)))
-            want = p.run_matrices(r)
-            e = np.eye(3)
-            have = np.stack([H.np_rotate(g, np.broadcast_to(e[k], (*g.shape[:-1], 3))) for k in range(3)], -1)
-            off = np.nanmax(np.abs(have - want), axis=(1, 2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(off < 1e-9)], names=["clip", "frame", "agree"])
+            g = p.run_matrices(H.flat(b.column(2), 4))[:, driven]
+            at = pa.array(np.repeat(np.arange(len(g)), len(driven)))
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(np.tile(np.array(driven, np.int32), len(g)))]
+            cols += [pa.array(np.ascontiguousarray(g[..., i, j]).ravel()) for i, j in ((0, 0), (1, 0), (2, 0), (2, 2))]
+            yield pa.RecordBatch.from_arrays(cols, names=["clip", "frame", "joint", "m00", "m10", "m20", "m22"])
 
-    return poses(spark, sf).mapInArrow(run, "clip int, frame int, agree boolean")
+    out = poses(spark, sf).mapInArrow(run, "clip int, frame int, joint int, m00 double, m10 double, m20 double, m22 double")
+    return out.select("clip", "frame", "joint", *[micro(F.col(c), c, 1e5) for c in ("m00", "m10", "m20", "m22")])
 
 
-@query("RET1", using("pose_quat", "toy") + f",\n{_RIG},\nj AS (SELECT t.joint AS target, min(s.joint) AS source FROM tgt t LEFT JOIN toy s ON trim(list_last(string_split(t.name, ':'))) = s.name GROUP BY t.joint)\nSELECT c.clip, c.frame, CAST(j.target AS INTEGER) AS joint, " + ", ".join(m(f"coalesce(p.q{c}, {i})", f"q{c}") for c, i in zip("wxyz", (1, 0, 0, 0), strict=True)) + " FROM clip_frame c CROSS JOIN j LEFT JOIN pose_quat p ON p.clip = c.clip AND p.frame = c.frame AND p.joint = j.source")
+_RATIO = 1.5
+
+
+@query("RET1", using("pose_quat", "toy") + f",\n{_RIG},\nj AS (SELECT t.joint AS target, min(s.joint) AS source FROM tgt t LEFT JOIN toy s ON trim(list_last(string_split(t.name, ':'))) = s.name GROUP BY t.joint)\nSELECT c.clip, c.frame, CAST(j.target AS INTEGER) AS joint, " + ", ".join(m(f"coalesce(p.q{c}, {i})", f"q{c}") for c, i in zip("wxyz", (1, 0, 0, 0), strict=True)) + ", " + m(f"CASE WHEN j.target = 0 THEN ({OFFSETS[0][0]} + c.frame * 0.25::DOUBLE) * {_RATIO} END", "root_x") + " FROM clip_frame c CROSS JOIN j LEFT JOIN pose_quat p ON p.clip = c.clip AND p.frame = c.frame AND p.joint = j.source")
 def ret1(spark, sf):
-    """Rotations copied by name; joints without a source are at rest. The gather stays in the row."""
+    """Rotations copied by name, joints without a source at rest, the root's position times the ratio of heights. All stays in the row."""
     pairs = {r["target"]: r["source"] for r in R.exact_mapping(skeleton(spark, TOY), rigged(spark)).collect()}  # one skeleton
-    rest = [F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)]
-    each = [F.struct(F.lit(t).alias("joint"), *[(F.get("rotations", F.lit(pairs[t] * 4 + k)) if t in pairs else rest[k]).alias("q" + c) for k, c in enumerate("wxyz")]) for t in range(18)]
-    rows = poses(spark, sf).select("clip", "frame", F.explode(F.array(*each)).alias("r"))
-    return rows.select("clip", "frame", "r.joint", *[micro(F.col("r.q" + c), "q" + c) for c in "wxyz"])
+    rows = R.copy_rotations(moving_poses(spark, sf), pairs, 18, _RATIO)
+    rows = rows.select("clip", "frame", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(17)), lambda j: F.slice("rotations", j * 4 + 1, 4))).alias("joint", "q"), F.get("root", F.lit(0)).alias("x"))
+    return rows.select("clip", "frame", "joint", *[micro(F.get("q", F.lit(k)), "q" + c) for k, c in enumerate("wxyz")], micro(F.when(F.col("joint") == 0, F.col("x")), "root_x"))
+
 
+_F = ["x", "y", "z"]
+_ANCHOR = lambda k, c: f"CASE WHEN n.a{k} AND NOT p.a{k} THEN n.{c}{k} + p.c{c} ELSE p.h{c}{k} END"
+_STEP = {c: f"CASE WHEN n.a0 AND n.a1 THEN ((({_ANCHOR(0, c)}) - n.{c}0) + (({_ANCHOR(1, c)}) - n.{c}1)) / 2 WHEN n.a0 THEN ({_ANCHOR(0, c)}) - n.{c}0 WHEN n.a1 THEN ({_ANCHOR(1, c)}) - n.{c}1 ELSE p.c{c} * 0.8 END" for c in _F}
 
-@query("REC8", using("scalar_track", recursive=True) + f""",
-{_CONTACT},
+
+@query("REC8", using("foot_contact", recursive=True) + f""",
+two AS (SELECT a.clip, a.frame, a.active AS a0, b.active AS a1, {", ".join(f"a.{c} AS {c}0, b.{c} AS {c}1" for c in _F)} FROM foot_contact a JOIN foot_contact b ON a.clip = b.clip AND a.frame = b.frame WHERE a.foot = 3 AND b.foot = 7),
 c8 AS (
-  SELECT clip, frame, active, CASE WHEN active THEN v ELSE 0 END AS anchor, 0.0::DOUBLE AS correction FROM contact WHERE frame = 0
+  SELECT clip, frame, a0, a1, {", ".join(f"{c}{k} AS h{c}{k}" for c in _F for k in (0, 1))}, {", ".join(f"0.0::DOUBLE AS c{c}" for c in _F)} FROM two WHERE frame = 0
   UNION ALL
-  SELECT n.clip, n.frame, n.active, CASE WHEN n.active AND NOT p.active THEN n.v + p.correction ELSE p.anchor END,
-    CASE WHEN n.active THEN (CASE WHEN NOT p.active THEN n.v + p.correction ELSE p.anchor END) - n.v ELSE p.correction * 0.8 END
-  FROM c8 p JOIN contact n ON n.clip = p.clip AND n.frame = p.frame + 1
+  SELECT n.clip, n.frame, n.a0, n.a1, {", ".join(_ANCHOR(k, c) for c in _F for k in (0, 1))}, {", ".join(_STEP[c] for c in _F)}
+  FROM c8 p JOIN two n ON n.clip = p.clip AND n.frame = p.frame + 1
 )
-SELECT clip, frame, {m("correction", "correction", "1e5")} FROM c8""")
+SELECT clip, frame, {", ".join(m("c" + c, "c" + c, "1e5") for c in _F)} FROM c8""")
 def rec8(spark, sf):
-    return R.contact_lock(contact(spark, sf)).select("clip", "frame", micro(F.col("correction"), "correction", 1e5))
+    """The contact lock of two feet in space: what holds the feet that are down, on average, and fades without one."""
+    return R.foot_lock(foot_contact(spark, sf)).select("clip", "frame", *[micro(F.col("c" + c), "c" + c, 1e5) for c in _F])
 
 
 # --- samples ------------------------------------------------------------------------------------
@@ -371,15 +446,45 @@ def jon7(spark, sf):
     return rows.select("sample", "frame", "next", micro(F.col("va"), "va"), micro(F.col("vb"), "vb"))
 
 
-@query("SMP2", using("sample_times", "track_size", "scalar_track") + _TIME + _BR + "SELECT sample, " + m("x.v + share * (y.v - x.v)", "value", "1e5") + " FROM b JOIN scalar_track x ON x.clip = b.clip AND x.frame = b.frame JOIN scalar_track y ON y.clip = b.clip AND y.frame = b.nxt")
+#: Samples of poses: the orders name a clip and a time that may lie outside of it.
+_ST = "st AS (SELECT o_orderkey AS sample, CAST(o_custkey % 10 AS INTEGER) AS clip, (o_orderkey % 1000) * 0.1::DOUBLE - 10.0::DOUBLE AS t FROM orders), cn AS (SELECT clip, CAST(count(*) AS INTEGER) AS n FROM clip_frame GROUP BY clip), sl AS (SELECT sample, st.clip, n, t - (n-1)*floor(t/(n-1)) AS tt FROM st JOIN cn ON cn.clip = st.clip), sb AS (SELECT sample, clip, CAST(least(floor(tt), n-1) AS INTEGER) AS frame, CAST(least(least(floor(tt), n-1) + 1, n-1) AS INTEGER) AS nxt, tt - least(floor(tt), n-1) AS u FROM sl)"
+_ND = "abs(x.qw*y.qw + x.qx*y.qx + x.qy*y.qy + x.qz*y.qz)"
+_SS = f"""sp AS (SELECT sample, x.joint, b.frame, b.u, least(1.0::DOUBLE, {_ND}) AS d, CASE WHEN x.qw*y.qw + x.qx*y.qx + x.qy*y.qy + x.qz*y.qz < 0 THEN -1 ELSE 1 END AS sg, {", ".join(f"x.q{c} AS h{c}, y.q{c} AS k{c}" for c in "wxyz")}
+  FROM sb b JOIN pose_quat x ON x.clip = b.clip AND x.frame = b.frame JOIN pose_quat y ON y.clip = b.clip AND y.frame = b.nxt AND y.joint = x.joint),
+sw AS (SELECT *, CASE WHEN d > 0.9995 THEN 1 - u ELSE sin((1 - u) * acos(d)) / sin(acos(d)) END AS wa, CASE WHEN d > 0.9995 THEN u ELSE sin(u * acos(d)) / sin(acos(d)) END * sg AS wb FROM sp),
+sq AS (SELECT sample, joint, frame, u, {", ".join(f"wa*h{c} + wb*k{c} AS r{c}" for c in "wxyz")} FROM sw)"""
+_RN = "sqrt(rw*rw+rx*rx+ry*ry+rz*rz)"
+
+
+def pose_samples(spark, sf):
+    """(sample, clip, t, n): a time of a clip for each order."""
+    sizes = V.table(spark, sf, "embeddings").groupBy(F.col("label").alias("clip")).agg(F.count("*").cast("int").alias("n"))
+    rows = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sample"), (F.col("o_custkey") % 10).cast("int").alias("clip"), ((F.col("o_orderkey") % 1000) * F.lit(0.1) - F.lit(10.0)).alias("t"))
+    return rows.join(F.broadcast(sizes), "clip")  # a row a clip
+
+
+def joints_of(poses_, keys):
+    """(keys, joint, qw..qz, tx..tz) from pose rows."""
+    at = lambda c, j, k, w: F.get(c, j * w + k)
+    rows = poses_.select(*keys, "rotations", "translations", F.explode(F.sequence(F.lit(0), (F.size("rotations") / 4 - 1).cast("int"))).alias("joint"))
+    return rows.select(*keys, "joint", *[at("rotations", F.col("joint"), k, 4).alias("q" + c) for k, c in enumerate("wxyz")], *[at("translations", F.col("joint"), k, 3).alias("t" + c) for k, c in enumerate("xyz")])
+
+
+@query("SMP2", using("pose_quat", "clip_frame") + f",\n{_ST},\n{_SS}\nSELECT sample, CAST(joint AS INTEGER) AS joint, " + ", ".join(m(f"r{c}/{_RN}", f"q{c}", "1e5") for c in "wxyz") + ", " + m("CASE WHEN joint = 0 THEN (frame + u) * 0.25::DOUBLE ELSE 0 END", "moved", "1e5") + " FROM sq")
 def smp2(spark, sf):
-    return resample.sample_scalars(timed(spark, sf), V.scalar_track(spark, sf), 1.0, True).select("sample", micro(F.col("value"), "value", 1e5))
+    """Whole poses at looped times: slerp of all joints and the root's way."""
+    rows = joints_of(resample.sample_poses(pose_samples(spark, sf), moving_poses(spark, sf), 1.0, True), ["sample"])
+    moved = F.when(F.col("joint") == 0, F.col("tx") - F.lit(OFFSETS[0][0])).otherwise(0.0)
+    return rows.select("sample", "joint", *[micro(F.col("q" + c), "q" + c, 1e5) for c in "wxyz"], micro(moved, "moved", 1e5))
 
 
-@query("SMP1", using("sample_times", "scalar_track") + "\nSELECT sample, s.clip, s.frame, " + m("s.v", "value") + " FROM sample_times t JOIN scalar_track s ON s.clip = t.clip AND s.frame = CAST(floor(t.t) AS BIGINT)")
+@query("SMP1", using("pose_quat", "clip_frame") + f",\n{_ST}\nSELECT sample, st.clip, p.frame, CAST(p.joint AS INTEGER) AS joint, " + ", ".join(m(f"p.q{c}", f"q{c}") for c in "wxyz") + ", " + m("CASE WHEN p.joint = 0 THEN p.frame * 0.25::DOUBLE ELSE 0 END", "moved") + " FROM st JOIN pose_quat p ON p.clip = st.clip AND p.frame = CAST(floor(st.t) AS BIGINT)")
 def smp1(spark, sf):
-    at = V.sample_times(spark, sf).withColumn("frame", F.floor("t").cast("int"))
-    return at.join(V.scalar_track(spark, sf), ["clip", "frame"]).select("sample", "clip", "frame", micro(F.col("v"), "value"))
+    """Whole poses of frames; samples outside of their clip give none."""
+    at = pose_samples(spark, sf).withColumn("frame", F.floor("t").cast("int"))
+    rows = joints_of(resample.sample_frames(at, moving_poses(spark, sf)), ["sample", "clip", "frame"])
+    moved = F.when(F.col("joint") == 0, F.col("tx") - F.lit(OFFSETS[0][0])).otherwise(0.0)
+    return rows.select("sample", "clip", "frame", "joint", *[micro(F.col("q" + c), "q" + c) for c in "wxyz"], micro(moved, "moved"))
 
 
 @query("SMP3", using("track_size", "toy") + "\nSELECT clip, n AS frames, " + m("(n - 1) / 30.0::DOUBLE", "duration") + ", (SELECT count(*) FROM toy) AS joints, (SELECT name FROM toy WHERE joint = 4) AS name FROM track_size")

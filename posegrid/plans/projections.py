@@ -130,21 +130,21 @@ def angle(spark, sf):
     return V.quat_pair(spark, sf).select(*KEY, micro(Q.angle_degrees(Q.quat("a"), Q.quat("b")), "error", 1e4))
 
 
-_S3 = """,
+S3 = """,
 s AS (SELECT *, [qw, qx, qy, qz] AS q, list_position([abs(qw), abs(qx), abs(qy), abs(qz)], greatest(abs(qw), abs(qx), abs(qy), abs(qz))) AS p FROM pose_quat),
 three AS (SELECT clip, frame, joint, p, list_transform(list_filter([1, 2, 3, 4], lambda i: i <> p), lambda i:
   CAST(round_even(least(1.0, greatest(0.0, (q[i] * CASE WHEN q[p] < 0 THEN -1 ELSE 1 END + 1/sqrt(2)) / (1/sqrt(2) + 1/sqrt(2)))) * 65535, 0) AS BIGINT)) AS c FROM s)
 """
 
 
-@query("PRJ11", PQ.rstrip() + _S3 + "SELECT clip, frame, joint, CAST(p - 1 AS INTEGER) AS omitted, c[1] AS c0, c[2] AS c1, c[3] AS c2 FROM three")
+@query("PRJ11", PQ.rstrip() + S3 + "SELECT clip, frame, joint, CAST(p - 1 AS INTEGER) AS omitted, c[1] AS c0, c[2] AS c1, c[3] AS c2 FROM three")
 def smallest_three(spark, sf):
     omitted, three = codes.smallest_three(Q.quat(), 16)
     rows = V.pose_quat(spark, sf).select(*KEY, omitted.alias("omitted"), three.alias("c"))
     return rows.select(*KEY, "omitted", *[F.get("c", F.lit(k)).alias(f"c{k}") for k in range(3)])
 
 
-@query("PRJ12", PQ.rstrip() + _S3.rstrip() + """,
+@query("PRJ12", PQ.rstrip() + S3.rstrip() + """,
 v AS (SELECT *, list_transform(c, lambda x: -1/sqrt(2) + x / 65535.0::DOUBLE * (1/sqrt(2) + 1/sqrt(2))) AS v FROM three),
 r AS (SELECT *, sqrt(greatest(0.0, 1 - (v[1]*v[1]+v[2]*v[2]+v[3]*v[3]))) AS r FROM v),
 o AS (SELECT clip, frame, joint, list_concat(list_concat(v[1:p-1], [r]), v[p:3]) AS q, sqrt(v[1]*v[1]+v[2]*v[2]+v[3]*v[3]+r*r) AS n FROM r)

@@ -53,6 +53,11 @@ def skeleton_sql(joints) -> str:
     return f"SELECT * FROM (VALUES {rows}) v(joint, name, parent, ox, oy, oz)"
 
 
+#: A chain without names that mean anything; its height is that of its end sites.
+BARE = [("b0", -1, (0.0, 1.0, 0.0)), ("b1", 0, (0.0, 2.0, 0.0)), ("b2", 1, (0.5, 0.25, 0.0)), ("b3", 0, (0.0, -0.5, 0.0))]
+BARE_ENDS = {2: (0.0, 1.5, 0.0), 3: (0.0, -0.75, 0.25)}
+
+
 def skeleton(spark: SparkSession, joints) -> DataFrame:
     rows = [(i, n, p, *map(float, o)) for i, (n, p, o) in enumerate(joints)]
     return spark.createDataFrame(rows, "joint int, name string, parent int, ox double, oy double, oz double")
@@ -72,6 +77,8 @@ VIEWS = {
     "sample_times": "SELECT o_orderkey AS sample, (o_custkey % ((SELECT max(user_id) FROM events) + 1)) AS clip, (o_orderkey % 1000) * 0.1::DOUBLE - 10.0::DOUBLE AS t FROM orders",
     "eval_sample": "SELECT o_orderkey AS sample, CASE WHEN o_orderkey % 3 = 0 THEN 'unseen' ELSE 'seen' END || '_character_' || CASE WHEN c_acctbal > 100 THEN 'seen' ELSE 'unseen' END || '_motion' AS split, o_orderkey % 3 <> 0 AS character_seen, c_acctbal > 100 AS motion_seen, o_totalprice AS mse, CASE WHEN o_orderkey % 5 < 3 THEN c_acctbal END AS geometry, o_custkey, o_orderkey, c_nationkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
     "pair_score": "SELECT CAST(l_suppkey % 4 AS INTEGER) AS source, CAST(l_partkey % 4 AS INTEGER) AS target, l_orderkey % 50 AS clip, l_quantity AS score FROM lineitem",
+    "foot_track": "SELECT clip, frame, joint AS foot, px AS x, py AS y, pz AS z FROM pose_position WHERE joint IN (3, 7)",
+    "foot_contact": "SELECT clip, frame, foot, x, y, z, y <= min(y) OVER (PARTITION BY clip, foot) + 0.03 * 8 AND coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w)), sqrt((lead(x) OVER w - x) * (lead(x) OVER w - x) + (lead(z) OVER w - z) * (lead(z) OVER w - z)), 0) / 0.5 <= 0.15 * 8 AS active FROM foot_track WINDOW w AS (PARTITION BY clip, foot ORDER BY frame)",
     "toy": skeleton_sql(TOY),
     "engine": skeleton_sql(ENGINE),
 }

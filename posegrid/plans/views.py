@@ -45,16 +45,28 @@ def pose_position(spark, sf) -> DataFrame:
     return _each(clip_frame(spark, sf), 21, 3, ["px", "py", "pz"])
 
 
-def pred_truth(spark, sf) -> DataFrame:
-    """Predictions joined to truths as whole frames, so that the shuffle moves a row a frame."""
+def pred_truth(spark, sf, root: int | None = None) -> DataFrame:
+    """Predictions joined to truths as whole frames, so that the shuffle moves a row a frame.
+
+    With ``root`` predictions are moved so that this joint is where the truth's is; it stands in the same row.
+    """
     frames = clip_frame(spark, sf)
     truth = frames.select((F.pmod(F.col("clip") + 9, F.lit(10))).cast("int").alias("clip"), "frame", F.col("e").alias("t"))
     both = frames.join(truth, ["clip", "frame"])
     at = both.select("clip", "frame", "e", "t", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("joint"))
     parts = [F.get(a, F.col("joint") * 3 + k).alias(p + n) for a, p in (("e", "p"), ("t", "t")) for k, n in enumerate("xyz")]
+    if root is not None:
+        off = [F.get("t", F.lit(root * 3 + k)) - F.get("e", F.lit(root * 3 + k)) for k in range(3)]
+        parts += [(F.get("e", F.col("joint") * 3 + k) + off[k]).alias("l" + n) for k, n in enumerate("xyz")]
     return at.select("clip", "frame", "joint", *parts)
 
 
+def foot_track(spark, sf) -> DataFrame:
+    """(clip, frame, foot, x, y, z): two joints of each pose taken as feet."""
+    feet = F.array(*[F.struct(F.lit(j).alias("foot"), *[F.get("e", F.lit(3 * j + k)).alias(n) for k, n in enumerate("xyz")]) for j in (3, 7)])
+    return clip_frame(spark, sf).select("clip", "frame", F.inline(feet))
+
+
 def scalar_track(spark, sf) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")

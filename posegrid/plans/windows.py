@@ -53,9 +53,23 @@ def speed(value, order, frame_time: float):
     return step / frame_time
 
 
-@query("WIN2", ST + f"\nSELECT clip, frame, {m(SPEED, 'speed')} FROM scalar_track WINDOW w AS (PARTITION BY clip ORDER BY frame)")
+def foot():
+    return Window.partitionBy("clip", "foot").orderBy("frame")
+
+
+def horizontal_speed(order, frame_time: float):
+    """Way a second in the plane across ``y``; the first frame has the second's, a single frame 0."""
+    way = lambda step: F.sqrt(sum((step(c) * step(c) for c in "z"), step("x") * step("x")))
+    back, ahead = way(lambda c: F.col(c) - F.lag(c).over(order)), way(lambda c: F.lead(c).over(order) - F.col(c))
+    return F.coalesce(back, ahead, F.lit(0.0)) / frame_time
+
+
+_WAY = "coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w)), sqrt((lead(x) OVER w - x) * (lead(x) OVER w - x) + (lead(z) OVER w - z) * (lead(z) OVER w - z)), 0) / 0.5"
+
+
+@query("WIN2", using("foot_track") + f"\nSELECT clip, frame, foot, {m(_WAY, 'speed')} FROM foot_track WINDOW w AS (PARTITION BY clip, foot ORDER BY frame)")
 def speeds(spark, sf):
-    return V.scalar_track(spark, sf).select("clip", "frame", micro(speed(F.col("v"), track(), 0.5), "speed"))
+    return V.foot_track(spark, sf).select("clip", "frame", "foot", micro(horizontal_speed(foot(), 0.5), "speed"))
 
 
 @query("PRJ28", ST + "\nSELECT clip, frame, " + m("v - coalesce(lag(v) OVER (PARTITION BY clip ORDER BY frame), v)", "step") + " FROM scalar_track")
@@ -81,9 +95,15 @@ def contact(spark, sf):
     return V.scalar_track(spark, sf).select("clip", "frame", "v", in_contact(F.col("v"), speed(F.col("v"), track(), 0.5), floor, 2000.0).alias("active"))
 
 
-@query("FLT6", ST + f",\n{_CONTACT}\nSELECT clip, frame, active FROM contact")
+def foot_contact(spark, sf):
+    """(clip, frame, foot, x, y, z, active): a foot near its floor that hardly moves in the plane."""
+    floor = F.min("y").over(Window.partitionBy("clip", "foot"))
+    return V.foot_track(spark, sf).withColumn("active", in_contact(F.col("y"), horizontal_speed(foot(), 0.5), floor, 8.0))
+
+
+@query("FLT6", using("foot_contact") + "\nSELECT clip, frame, foot, active FROM foot_contact")
 def contact_mask(spark, sf):
-    return contact(spark, sf).select("clip", "frame", "active")
+    return foot_contact(spark, sf).select("clip", "frame", "foot", "active")
 
 
 @query("WIN4", ST + f",\n{_CONTACT},\ne AS (SELECT *, CASE WHEN active AND NOT coalesce(lag(active) OVER (PARTITION BY clip ORDER BY frame), false) THEN 1 ELSE 0 END AS edge FROM contact),\ni AS (SELECT *, sum(edge) OVER (PARTITION BY clip ORDER BY frame ROWS UNBOUNDED PRECEDING) AS island FROM e)\nSELECT clip, CAST(island AS BIGINT) AS island, min(frame) AS first, max(frame) AS last, " + m("min_by(v, frame)", "anchor") + " FROM i WHERE active GROUP BY clip, island")
@@ -150,23 +170,15 @@ def square(a: str, b: str):
     return sum(((F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in "yz"), (F.col(a + "x") - F.col(b + "x")) * (F.col(a + "x") - F.col(b + "x")))
 
 
-def mse(height: float):
-    """Mean squared coordinate difference over the squared height."""
-    return F.avg(square("p", "t") / 3) / (height * height)
+def mse(height: float, moved: str = "p"):
+    """Mean squared coordinate difference over the squared height; ``moved`` "l": of root-aligned predictions."""
+    return F.avg(square(moved, "t") / 3) / (height * height)
 
 
 def mean_distance(height: float):
     return F.avg(F.sqrt(square("p", "t"))) / height * 1000
 
 
-def root_aligned(rows, keys=("clip", "frame"), root: int = 0):
-    """Predictions moved so that their root is where the truth's is; one window, no self join."""
-    frame = Window.partitionBy(*keys)
-    at = lambda c: F.max(F.when(F.col("joint") == root, F.col(c))).over(frame)
-    moved = rows.withColumns({"r" + c: at("p" + c) for c in "xyz"} | {"s" + c: at("t" + c) for c in "xyz"})
-    return moved.withColumns({"p" + c: F.col("p" + c) - F.col("r" + c) + F.col("s" + c) for c in "xyz"}).drop(*["r" + c for c in "xyz"], *["s" + c for c in "xyz"])
-
-
 @query("AGG1", PT + "\nSELECT clip, " + m(f"avg({SQ}/3)/(1.8*1.8)", "mse") + " FROM pred_truth GROUP BY clip")
 def agg1(spark, sf):
     return V.pred_truth(spark, sf).groupBy("clip").agg(micro(mse(1.8), "mse"))
@@ -174,7 +186,7 @@ def agg1(spark, sf):
 
 @query("AGG2", PT + _LOCAL + "SELECT clip, " + m(f"avg({_LSQ}/3)/(1.8*1.8)", "local_mse") + " FROM r GROUP BY clip")
 def agg2(spark, sf):
-    return root_aligned(V.pred_truth(spark, sf)).groupBy("clip").agg(micro(mse(1.8), "local_mse"))
+    return V.pred_truth(spark, sf, root=0).groupBy("clip").agg(micro(mse(1.8, "l"), "local_mse"))
 
 
 @query("AGG3", PT + "\nSELECT clip, " + m(f"avg(sqrt({SQ}))/1.8*1000", "distance", "1e3") + " FROM pred_truth GROUP BY clip")
@@ -187,49 +199,74 @@ def agg4(spark, sf):
     return V.pred_truth(spark, sf).groupBy("clip").agg(micro(mse(1.8) * 1000, "official", 1e3))
 
 
-_PEN = "pen AS (SELECT l_orderkey % 97 AS clip, l_discount AS p, l_tax + 0.1 AS t FROM lineitem WHERE l_discount <= l_tax + 0.1)"
+_PEN = "pen AS (SELECT CAST(l_orderkey % 97 AS INTEGER) AS clip, l_discount AS p, l_tax + 0.1 AS t FROM lineitem)"
 
 
 def penetration(spark, sf):
-    rows = V.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 97).alias("clip"), F.col("l_discount").alias("p"), (F.col("l_tax") + F.lit(0.1)).alias("t"))
-    return rows.where("p <= t")
+    """(clip, p, t): penetrated and all vertices of frames, as counts must be; others are an error."""
+    rows = V.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 97).cast("int").alias("clip"), F.col("l_discount").alias("p"), (F.col("l_tax") + F.lit(0.1)).alias("t"))
+    sound = F.coalesce((F.col("t") > 0) & (F.col("p") >= 0) & (F.col("p") <= F.col("t")), F.lit(False))
+    return rows.withColumn("p", F.when(sound, F.col("p")).otherwise(F.raise_error(F.lit("penetrated vertices must lie between 0 and all vertices")).cast("double")))
+
+
+def percent():
+    return F.avg(F.col("p") / F.col("t")) * 100
 
 
 @query("AGG5", f"WITH {_PEN}\nSELECT clip, " + m("avg(p/t)*100", "percent", "1e4") + " FROM pen GROUP BY clip")
 def agg5(spark, sf):
     """Mean of the frames' ratios, not the ratio of sums."""
-    return penetration(spark, sf).groupBy("clip").agg(micro(F.avg(F.col("p") / F.col("t")) * 100, "percent", 1e4))
+    return penetration(spark, sf).groupBy("clip").agg(micro(percent(), "percent", 1e4))
 
 
-@query("AGG6", using("clip_frame") + "\nSELECT clip, " + m("avg(abs(x)) FILTER (WHERE isfinite(x))", "cm") + " FROM (SELECT clip, unnest(e)::DOUBLE AS x FROM clip_frame) GROUP BY clip")
+_CON = "con AS (SELECT clip, avg(abs(x)) FILTER (WHERE isfinite(x)) AS cm FROM (SELECT clip, unnest(e)::DOUBLE AS x FROM clip_frame) GROUP BY clip)"
+
+
+@query("AGG6", using("clip_frame") + f",\n{_CON}\nSELECT clip, {m('cm', 'cm')} FROM con")
 def agg6(spark, sf):
+    return contact_distance(spark, sf).select("clip", micro(F.col("cm"), "cm"))
+
+
+def contact_distance(spark, sf):
     """Mean of all finite distances; each vector is reduced where it lies, without a row for each number."""
     x = F.filter("e", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
     parts = V.clip_frame(spark, sf).select("clip", F.aggregate(x, F.lit(0.0), lambda a, v: a + F.abs(v)).alias("s"), F.size(x).alias("n"))
-    return parts.groupBy("clip").agg(micro(F.sum("s") / F.sum("n"), "cm"))
+    return parts.groupBy("clip").agg((F.sum("s") / F.sum("n")).alias("cm"))
 
 
-_AGG7 = ", ".join([m(f"avg({SQ}/3)/(1.8*1.8)", "mse"), m(f"avg({_LSQ}/3)/(1.8*1.8)", "local_mse"), m(f"avg(sqrt({SQ}))/1.8*1000", "distance", "1e3"), "count(*) AS n", "CAST(NULL AS BIGINT) AS penetration"])
+#: The nine metrics of a motion; the last two are null where a clip has no counts or distances.
+METRICS = ["global_mse_raw", "global_mse_x1e3", "local_mse_raw", "local_mse_x1e3", "san_paper_position_error_x1e3", "san_official_code_mse_raw", "san_official_code_mse_x1e3", "penetration_percent", "contact_distance_cm"]
+_M = f"mo AS (SELECT clip, avg({SQ}/3)/(1.8*1.8) AS g, avg({_LSQ}/3)/(1.8*1.8) AS l, avg(sqrt({SQ}))/1.8*1000 AS d FROM r GROUP BY clip)"
+NINE = PT + _LOCAL.rstrip() + f",\n{_M},\n{_PEN},\npe AS (SELECT clip, avg(p/t)*100 AS pct FROM pen WHERE clip % 2 = 0 GROUP BY clip),\n{_CON},\nnine AS (SELECT mo.clip, g AS global_mse_raw, g*1000 AS global_mse_x1e3, l AS local_mse_raw, l*1000 AS local_mse_x1e3, d AS san_paper_position_error_x1e3, g AS san_official_code_mse_raw, g*1000 AS san_official_code_mse_x1e3, pct AS penetration_percent, CASE WHEN mo.clip % 3 <> 0 THEN cm END AS contact_distance_cm FROM mo LEFT JOIN pe ON pe.clip = mo.clip LEFT JOIN con ON con.clip = mo.clip)\n"
 
 
-@query("AGG7", PT + _LOCAL + f"SELECT clip, {_AGG7} FROM r GROUP BY clip")
-def agg7(spark, sf):
-    """All metrics of a clip in one aggregation."""
-    moved = root_aligned(V.pred_truth(spark, sf).withColumn("g", square("p", "t")))
-    return moved.groupBy("clip").agg(
-        micro(F.avg(F.col("g") / 3) / (1.8 * 1.8), "mse"), micro(mse(1.8), "local_mse"), micro(F.avg(F.sqrt("g")) / 1.8 * 1000, "distance", 1e3),
-        F.count("*").alias("n"), F.lit(None).cast("long").alias("penetration"),
+def nine_metrics(spark, sf):
+    """(clip, METRICS): one aggregation of the joined poses; counts exist for even clips, distances for two of three."""
+    moved = V.pred_truth(spark, sf, root=0).withColumn("g", square("p", "t"))
+    rows = moved.groupBy("clip").agg(
+        (F.avg(F.col("g") / 3) / (1.8 * 1.8)).alias("global_mse_raw"), mse(1.8, "l").alias("local_mse_raw"), (F.avg(F.sqrt("g")) / 1.8 * 1000).alias("san_paper_position_error_x1e3")
     )
+    counts = penetration(spark, sf).where("clip % 2 = 0").groupBy("clip").agg(percent().alias("penetration_percent"))
+    distances = contact_distance(spark, sf).where("clip % 3 <> 0").withColumnRenamed("cm", "contact_distance_cm")
+    rows = rows.join(counts, "clip", "left").join(distances, "clip", "left")
+    again = {f"{kind}_x1e3": F.col("global_mse_raw") * 1000 for kind in ("global_mse", "san_official_code_mse")} | {"local_mse_x1e3": F.col("local_mse_raw") * 1000, "san_official_code_mse_raw": F.col("global_mse_raw")}
+    return rows.withColumns(again).select("clip", *METRICS)
+
+
+@query("AGG7", NINE + "SELECT clip, " + ", ".join(m(c, c, "1e4") for c in METRICS) + " FROM nine")
+def agg7(spark, sf):
+    """All metrics of a clip."""
+    return nine_metrics(spark, sf).select("clip", *[micro(F.col(c), c, 1e4) for c in METRICS])
 
 
 SPLITS = [f"{c}_character_{s}_motion" for c in ("seen", "unseen") for s in ("seen", "unseen")]
 _AGG8 = "s AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in SPLITS) + ", ('overall'), ('never')) v(split)), g AS (SELECT coalesce(split, 'overall') AS split, count(*) AS n, avg(mse) AS mse, avg(geometry) AS geometry FROM eval_sample GROUP BY GROUPING SETS ((split), ()))"
 
 
-def split_report(rows, groups: list[str]):
+def split_report(rows, groups: list[str], metrics: list[str] = ["mse", "geometry"]):  # noqa: B006
     """Null-skipping means of every group and of all; groups without rows have a count of 0."""
     spark = rows.sparkSession
-    means = [F.count("*").alias("n"), F.avg("mse").alias("mse"), F.avg("geometry").alias("geometry")]
+    means = [F.count("*").alias("n"), *[F.avg(c).alias(c) for c in metrics]]
     found = rows.groupingSets([["split"], []], "split").agg(*means).withColumn("split", F.coalesce("split", F.lit("overall")))
     every = spark.createDataFrame([(s,) for s in [*groups, "overall"]], "split string")
     return every.join(F.broadcast(found), "split", "left").withColumn("n", F.coalesce("n", F.lit(0)))  # found has a row a group
@@ -256,15 +293,6 @@ def snk5(spark, sf):
     return back.select(F.size("g").cast("long").alias("groups"), F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))
 
 
-@query("AGG9", using("quat_pair") + "\nSELECT clip, " + ", ".join([m('avg(degrees(2*acos(least(1.0::DOUBLE, abs(aw*bw+ax*bx+ay*"by"+az*bz)))))', "mean_deg", "1e4"), m('max(degrees(2*acos(least(1.0::DOUBLE, abs(aw*bw+ax*bx+ay*"by"+az*bz)))))', "max_deg", "1e4"), m('max(degrees(2*acos(least(1.0::DOUBLE, abs(aw*bw+ax*bx+ay*"by"+az*bz))))) FILTER (WHERE joint = 0)', "root_deg", "1e4")]) + " FROM quat_pair GROUP BY clip")
-def agg9(spark, sf):
-    from posegrid.functions import quat as Q
-
-    e = Q.angle_degrees(Q.quat("a"), Q.quat("b"))
-    rows = V.quat_pair(spark, sf).select("clip", "joint", e.alias("e"))
-    return rows.groupBy("clip").agg(micro(F.avg("e"), "mean_deg", 1e4), micro(F.max("e"), "max_deg", 1e4), micro(F.max(F.when(F.col("joint") == 0, F.col("e"))), "root_deg", 1e4))
-
-
 @query("AGG10", using("pair_score") + "\nSELECT count(DISTINCT source) AS sources, count(DISTINCT target) AS targets, count(DISTINCT (source, target)) AS pairs, count(DISTINCT source) * count(DISTINCT target) = count(DISTINCT (source, target)) AS complete FROM pair_score")
 def agg10(spark, sf):
     rows = V.pair_score(spark, sf).select("source", "target").distinct()
