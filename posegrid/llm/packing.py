@@ -1,15 +1,15 @@
 """Packing into optimal length buckets and token-budget batches.
 
 1. One pass counts each document's units (words between white space, unless a length column is
-   given) and reduces them to a global histogram: exact up to 2,048 units, then 1,024 steps an
+   given) and reduces them to a global histogram: exact up to 131,071 units, then 65,536 steps an
    octave, so that it has a bounded number of bins however long documents get. A bin knows its
-   count, its sum and its longest document.
+   count, its sum and its longest document. A boundary is off by less than 1/65,536 of its length.
 2. A dynamic programme over the histogram finds the boundaries of at most ``buckets`` buckets with
    the least padding in all; each layer is solved in linear time by the lower envelope of lines.
 3. In a bucket with boundary L a batch holds up to max(1, budget // L) documents. Buckets are cut
-   into shards of about SHARD documents by a hash of id and length, so that no bucket and no
-   repeated or null id is ordered in one task; within a shard documents are ordered by length and id and cut into batches. A
-   shard has at most one batch that is not full.
+   into shards of about SHARD documents by a hash of the row's number, so that no bucket, no id
+   and no group of equal rows is ordered in one task; within a shard documents are ordered by length
+   and id and cut into batches. A shard has at most one batch that is not full.
 
 Defined results
   * null and empty texts have length 0; a bucket of boundary 0 holds only those;
@@ -20,6 +20,8 @@ Defined results
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from posegrid.llm._common import Scratch
 
 BUCKETS = 16
 BUDGET = 16_384
-EXACT_BITS = 11
+EXACT_BITS = 17
 SHARD = 20_000
 
 
@@ -84,15 +86,15 @@ def pack(
 ) -> DataFrame:
     """Per document: doc_id, n_units, bucket, boundary, shard, batch, slot. A batch is (bucket, shard, batch)."""
     units = n_words(F.col("text")) if length is None else F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long")
-    sized = scratch.table(docs.select("doc_id", units.alias("n_units")), "lengths")
+    sized = scratch.table(docs.select("doc_id", units.alias("n_units"), F.monotonically_increasing_id().alias("row")), "lengths")
     hist = sized.groupBy(bin_of(F.col("n_units")).alias("bin")).agg(
         F.count("*").alias("n"), F.sum("n_units").alias("s"), F.max("n_units").alias("top")
     )
-    rows = sorted(hist.collect(), key=lambda r: r["bin"])  # at most 2,048 bins and 1,024 an octave
+    rows = sorted(hist.collect(), key=lambda r: r["bin"])  # at most 131,072 bins and 65,536 an octave
     cuts = boundaries([r["top"] for r in rows], [r["n"] for r in rows], [r["s"] for r in rows], buckets)
     counts = [0] * len(cuts)
     for r in rows:
-        counts[next(k for k, b in enumerate(cuts) if b >= r["top"])] += r["n"]
+        counts[bisect_left(cuts, r["top"])] += r["n"]
     if not cuts:
         cuts, counts = [0], [0]
     of = F.lit(len(cuts) - 1)
@@ -101,8 +103,8 @@ def pack(
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1)
     placed = sized.withColumn("bucket", of).withColumn("boundary", pick(cuts).cast("long"))
     shards = [max(1, -(-n // shard)) for n in counts]
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_units"), pick(shards)).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_units", "doc_id")) - 1
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("row"), pick(shards)).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_units", "doc_id", "row")) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), "boundary"))).cast("long")
     out = placed.withColumn("rank", rank).withColumn("room", room)
     return out.select(
