@@ -11,11 +11,15 @@ whole documents:
     one line feed (the row separator of Spark's committed text writer)
 
 Boundaries and document ids cost about two bits more than log2(range / documents) each; no table
-of 64-bit offsets exists on disk. ``select(i)`` starts at the sample of every 256th set bit.
+of 64-bit offsets exists on disk. ``select(i)`` starts at the sample of every 256th set bit, and so
+does ``select_range``, by which readers take the boundaries run by run.
 
 Documents are shuffled by ranges of their id and of their text's first bytes, so that files are in
-id order and an id of many rows is not one file; they are tokenised as a stream; a block is closed
-at ``block_ids`` ids. Files are read whole, so the number of ranges follows the bytes of text.
+id order and an id of many rows is not one range; they are tokenised as a stream; a block is closed
+at ``block_ids`` ids. The number of ranges follows the bytes of text up to MOST_RANGES, so that the
+sample that finds their bounds stays small; files are read whole, so a range's blocks are cut into
+files of FILE_BLOCKS blocks. Blocks leave Spark as strings through its text writer, which writes the
+bytes of a string as they are, valid UTF-8 or not; reading checks every block's magic and length.
 
 Defined results
   * null text is empty; an empty text has the end id alone;
@@ -39,6 +43,8 @@ from posegrid.llm._common import bounded
 MAGIC = b"EFTK"
 HEADER = struct.Struct("<4sHHQQqBBB")
 SAMPLE = 256
+MOST_RANGES = 20_000
+FILE_BLOCKS = 16
 
 
 class EliasFano:
@@ -100,14 +106,29 @@ class EliasFano:
         at = byte * 8 + int(np.flatnonzero(seen)[left])
         return ((at - i) << self.low_bits) | (self._low(i) if self.low_bits else 0)
 
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.low_bits
+    def select_range(self, start: int, stop: int) -> np.ndarray:
+        """The values from the ``start``-th to before the ``stop``-th: only the samples around them are decoded."""
+        if not 0 <= start <= stop <= self.n:
+            raise IndexError((start, stop))
+        if start == stop:
+            return np.zeros(0, np.int64)
+        k, after = start // SAMPLE, -(-stop // SAMPLE)
+        first = int(self.samples[k]) // 8
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[first:end], bitorder="little")
+        bits[: int(self.samples[k]) - first * 8] = 0
+        ones = np.flatnonzero(bits)[start - k * SAMPLE : stop - k * SAMPLE] + first * 8
+        out = (ones - np.arange(start, stop)) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            out |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            at = start * self.low_bits
+            low = np.unpackbits(self.low[at // 8 : (stop * self.low_bits + 7) // 8], bitorder="little")[at % 8 :]
+            low = low[: (stop - start) * self.low_bits].reshape(stop - start, self.low_bits)
+            out |= low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return out
 
+    def values(self) -> np.ndarray:
+        return self.select_range(0, self.n)
+
 
 def pack_block(ids: list[int | None], docs: list[np.ndarray], width: int) -> bytes:
     """One block of whole documents; the ids are ascending, all given or all null."""
@@ -147,6 +168,12 @@ class Block:
     def ids(self, i: int) -> np.ndarray:
         return self.flat[self.offset(i) : self.offset(i + 1)]
 
+    def runs(self, documents: int = 16 * SAMPLE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document ids less the first, boundaries with the end) of runs of documents."""
+        for i in range(0, self.n, documents):
+            end = min(self.n, i + documents)
+            yield self.keys.select_range(i, end), self.bounds.select_range(i, end + 1)
+
 
 def blocks(data) -> Iterator[Block]:
     at = 0
@@ -295,12 +322,12 @@ def chunks(batches, text_bytes: int = 4 << 20):
 
 def write(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-    width: int = 2, block_ids: int = 1 << 20, file_bytes: int = 16 << 20,
+    width: int = 2, block_ids: int = 1 << 20, file_bytes: int = 64 << 20,
 ) -> None:
     """Encode the documents and write them below ``path``. ``width``: 2 if all ids are below 65,536."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-size // file_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
+    n = max(1, min(MOST_RANGES, -(-size // file_bytes)), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20))
 
     def run(batches):
         import pyarrow as pa
@@ -329,7 +356,7 @@ def write(
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     first = F.substring(F.col("text").cast("binary"), 1, 16)  # sorts as texts do; a sample of it goes to the driver
     placed = docs.repartitionByRange(int(n), order[0], first).sortWithinPartitions(*order)
-    placed.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    placed.mapInArrow(run, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -342,23 +369,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 data, before = memoryview(content.as_buffer()), 0
                 for block in blocks(data):
-                    ends = block.bounds.values()
-                    flat = block.flat.astype("<u4")
-                    at = (ends * 4).tolist()
-                    raw = memoryview(flat.tobytes())
-                    crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    ids = pa.nulls(block.n, pa.int64()) if block.null else pa.array(block.keys.values() + block.first, pa.int64())
-                    cols = [ids, pa.array(ends[:-1] + before, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array([name.as_py()] * block.n, pa.string())]
+                    for names, ends in block.runs():
+                        raw = memoryview(block.flat[ends[0] : ends[-1]].astype("<u4").tobytes())
+                        at = ((ends - ends[0]) * 4).tolist()
+                        crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                        n = len(names)
+                        ids = pa.nulls(n, pa.int64()) if block.null else pa.array(names + block.first, pa.int64())
+                        cols = [ids, pa.array(ends[:-1] + before, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array([name.as_py()] * n, pa.string())]
+                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
                     before += block.total
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def with_global_start(found: DataFrame) -> DataFrame:
-    """``start`` counted over all files. ``found``: a written result of ``read``; its files are few and large."""
-    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    """``start`` counted over all files. ``found``: a written result of ``read``. One window orders the files, a short row each."""
+    part = F.struct(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)", 1).cast("long"))
     files = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file", before.alias("before"))
