@@ -4,7 +4,8 @@ List entries (pattern, action, since) are dated changes: from ``since`` on the p
 allowed, or (``drop``) no longer listed. They become validity intervals [since, until). A pattern
 is a domain (``example.org``: it and its subdomains) or a domain and a path (``example.org/a/b``:
 that path and what lies below). A capture gives one key for each domain suffix of its host and
-for each path prefix of the depths that the list has. The as-of join is an equality join on (key,
+for each path prefix, as far as the list has keys of that many labels and of that depth; so a top-level domain,
+which every host has, makes no key unless it is listed. The as-of join is an equality join on (key,
 month) with the interval's bounds as a condition; an interval stands in each month that it
 touches, up to the last capture. So a key's captures never meet all of its history, a key of many
 captures is split by month, and further by the skew join; a list of a checked size is broadcast.
@@ -14,7 +15,8 @@ Defined results
   * captures without a url, a host or a time match nothing and are not blocked;
   * entries without pattern, action or time are no entries; of several entries of a pattern with
     the same time, ``block`` wins over ``allow`` over ``drop``;
-  * hosts and domains are compared in lower case, without a trailing dot; paths as they are;
+  * hosts and domains are compared in lower case, without a trailing dot; paths as they are; an
+    address in brackets is one label;
   * repeated captures are judged once; an empty list blocks nothing; no captures give no rows;
   * further columns are ignored, whatever their names.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from posegrid.llm._common import Scratch, bounded
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 ACTIONS = ("drop", "allow", "block")
 
@@ -57,10 +59,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     return rows.where("rank > 1").select("key", F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("rank").cast("int")).alias("action"), "since", "until")
 
 
-def keys_of(host: Column, path: Column, depth: int) -> Column:
-    """(key, rule length) candidates: the domain suffixes, then the path prefixes of up to ``depth`` parts below each."""
+def keys_of(host: Column, path: Column, sizes: list[int], depth: int) -> Column:
+    """Candidate keys: the domain suffixes of ``sizes`` labels, then the path prefixes of up to ``depth`` parts below each."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    at = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.size(labels))
+    suffixes = F.transform(at, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     if not depth:
         return F.when(host != "", suffixes).otherwise(F.array().cast("array<string>"))
     parts = F.filter(F.slice(F.split(path, "/"), 2, depth), lambda x: x != "")
@@ -76,14 +79,17 @@ def judge(captures: DataFrame, entries: DataFrame, scratch: Scratch) -> DataFram
     seen = captures.select("page_id", F.col("url").cast("string").alias("url"), F.col("fetched").cast("timestamp").alias("fetched")).distinct()
     seen = scratch.table(seen.withColumn("host", host_of(F.col("url"))), "captures")
     last = seen.agg(F.max("fetched")).first()[0]
-    depth = spans.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    domain = F.substring_index("key", "/", 1)
+    # how deep the list's paths are, and how many labels its domains have: names have 127 at most
+    shape = spans.agg(F.max(F.size(F.split("key", "/")) - 1), F.sort_array(F.collect_set(F.size(F.split(domain, r"\.")))))
+    depth, sizes = shape.first()
     none = seen.withColumns({"key": F.lit(None).cast("string"), "action": F.lit(None).cast("string"), "since": F.lit(None).cast("timestamp")})
-    if last is None:
+    if last is None or not sizes:
         found = none
     else:
         end = F.least(F.coalesce("until", F.lit(last)), F.lit(last))
         months = spans.where(F.col("since") <= F.lit(last)).withColumn("month", F.explode(F.sequence(month_of(F.col("since")), month_of(end))))
-        keyed = seen.where("fetched IS NOT NULL").withColumn("key", F.explode(keys_of(F.col("host"), path_of(F.col("url")), depth)))
+        keyed = seen.where("fetched IS NOT NULL").withColumn("key", F.explode(keys_of(F.col("host"), path_of(F.col("url")), sizes, depth)))
         keyed = keyed.withColumn("month", month_of(F.col("fetched")))
         hit = keyed.join(bounded(months), ["key", "month"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
         found = none.unionByName(hit.select(*none.columns))
