@@ -3,19 +3,24 @@
 Writing: every page's payload is hashed; only the headers (id, digest, length) are shuffled by
 digest, reduced to the smallest id of each digest before the shuffle, and joined back. The first
 page of a digest becomes a ``response`` with its payload, every other page of it a ``revisit``
-without one, with a fresh header that refers to the response. Archives are plain WARC/1.1 files,
-written by Spark's committed writer: a record is one text row and the row separator is the two
-line ends that close a record. So a lost task leaves no half archive, and any store will do.
+without one, with a fresh header that refers to the response. Payloads are never shuffled: each task
+meets the list of revisits by a broadcast, and where that list exceeds ``limit`` bytes the files of
+the pages are written in several rounds, each with the revisits of its own files (see ``_rounds``).
+Archives are plain WARC/1.1 files, written by Spark's committed writer: a record is one text row and
+the row separator is the two line ends that close a record. So a lost task leaves no half archive,
+and any store will do.
 
 Reading: the archives are split into records by their Content-Length, payloads are hashed and
 measured anew, and revisits get digest and length by a join to the response they refer to.
 
 Defined results
   * a null payload is empty; payloads shorter than ``min_bytes`` are always responses;
-  * rows that repeat a page id with the same payload are written once; a page id with several
-    payloads has one record each;
-  * a null url is written as ``urn:page:<id>``; line ends and spaces in a url are percent-encoded;
-  * a null page id is written as ``null`` and sorts after every other id;
+  * every row is one record; rows that repeat the smallest page id of a payload are all responses,
+    with one record id between them; a page id with several payloads has a record for each;
+  * a null url is written as ``urn:page:<id>``; control characters and spaces in a url are
+    percent-encoded, everything else stays as it is;
+  * page ids may be of any type that has an order; a null one has no header and sorts after every other;
+  * an archive holds up to ``archive_bytes`` at the pages' mean size; it is read whole;
   * no pages give an archive without records and an empty result;
   * further columns are ignored, whatever their names.
 """
@@ -24,11 +29,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posegrid.llm._common import Scratch
+from posegrid.llm._common import BROADCAST_BYTES, Scratch, broadcast_bytes
 
 #: Groups of one payload with at least this many rows are joined by broadcast (see ``resolve``).
 HOT_ROWS = 1000
@@ -36,17 +43,26 @@ END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 
+def _file(pages: DataFrame) -> F.Column:
+    """A hash of the file that a row is read from; 0 where rows come from no files."""
+    try:
+        pages.select("_metadata.file_path")
+    except AnalysisException:
+        return F.lit(0).cast("long")
+    return F.xxhash64("_metadata.file_path")
+
+
 def headers(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """(page_id, digest, bytes): what is shuffled instead of payloads."""
+    """(page_id, digest, bytes, file): what is shuffled instead of payloads."""
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     return pages.select(
-        F.col(id_col).alias("page_id"), F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).cast("long").alias("bytes")
-    ).distinct()
+        F.col(id_col).alias("page_id"), F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).cast("long").alias("bytes"), _file(pages).alias("file")
+    )
 
 
 def resolve(heads: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
-    """(page_id, digest, first): the response of each record that is a revisit."""
-    long = heads.where(F.col("bytes") >= min_bytes)
+    """(page_id, digest, file, first): the response of each record that is a revisit."""
+    long = heads.where(F.col("bytes") >= min_bytes).select("page_id", "digest", "file")
     groups = scratch.table(
         long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "groups"
     )
@@ -55,7 +71,26 @@ def resolve(heads: DataFrame, scratch: Scratch, min_bytes: int) -> DataFrame:
     hot, cold = groups.where(F.col("n") >= limit).drop("n"), groups.where(F.col("n") < limit).drop("n")
     marked = long.join(F.broadcast(hot), "digest", "left")
     found = marked.where("first is not null").unionByName(marked.where("first is null").drop("first").join(cold, "digest"))
-    return scratch.table(found.where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first"), "revisits")
+    found = found.where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "file", "first")
+    return scratch.table(found, "revisits")
+
+
+def _rounds(revisits: DataFrame, limit: int) -> list[int]:
+    """How often the files of each group of files are read, so that no round's list of revisits exceeds ``limit`` bytes.
+
+    Round j of group i takes the files whose hash is i and, of groups that are read m > 1 times, the
+    digests whose hash is j. That is for a file with a longer list and for pages that come from no files.
+    """
+    rows = max(1, revisits.count())
+    width = max(1, -(-broadcast_bytes(revisits) // rows))
+    most = max(1, limit // width)  # rows of a round
+    if rows <= most:
+        return [1]
+    files = revisits.groupBy("file").agg(F.count("*").alias("rows"))
+    n = min(2 * -(-rows // most), files.count())
+    each = files.groupBy(F.pmod("file", F.lit(n)).cast("int").alias("r")).agg(F.sum("rows").alias("rows"))
+    each = {r["r"]: r["rows"] for r in each.collect()}  # a number a round
+    return [max(1, -(-each.get(i, 0) // most)) for i in range(n)]
 
 
 def _record_id(page, digest) -> F.Column:
@@ -65,31 +100,47 @@ def _record_id(page, digest) -> F.Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+def safe_url(url: F.Column) -> F.Column:
+    """The url with control characters and spaces, which would break a header, as %XX."""
+    one = lambda c: F.when(c.rlike(BREAKS), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c)
+    return F.when(url.rlike(BREAKS), F.array_join(F.transform(F.split(url, ""), one), "")).otherwise(url)
+
+
+BREAKS = r"[\x00-\x20\x7F]"
+
+
 def write(
     pages: DataFrame, path: str, scratch: Scratch, id_col="page_id", url_col="url", payload_col="html", min_bytes=100, date=DATE,
-    archive_bytes=32 << 20,
+    archive_bytes=32 << 20, limit=BROADCAST_BYTES,
 ) -> None:
     """Write deduplicated archives below ``path``."""
     heads = scratch.table(headers(pages, id_col, payload_col), "headers")
     revisits = resolve(heads, scratch, min_bytes)
+    times = _rounds(revisits, limit)
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"),
-        F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"),
+        F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"), _file(pages).alias("file"),
     )
-    # rows of repeated pages go to the first of them; without any, no payload is shuffled
-    n_heads, mean = heads.agg(F.count("*"), F.avg("bytes")).first()
-    if n_heads < pages.count():
-        rows = rows.groupBy("page_id", "digest").agg(F.min(F.struct("url", "body")).alias("r")).select("page_id", "digest", "r.*")
-    # revisits drop their payload before anything is shuffled: short headers are joined, payloads never
-    n = revisits.count()
-    few = F.broadcast(revisits) if n <= 1_000_000 else revisits
+    # readers take an archive as a whole, so its size is bounded by the mean size of a record
+    mean = heads.agg(F.avg("bytes")).first()[0]
+    each = max(1, int(archive_bytes / ((mean or 0) + 600)))
+    out = lambda df: df.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    for i, m in enumerate(times):
+        for j in range(m):
+            mine = F.lit(True) if len(times) == 1 else F.pmod("file", F.lit(len(times))) == i
+            mine = mine if m == 1 else mine & (F.pmod(F.xxhash64("digest"), F.lit(m)) == j)
+            out(rows_of_records(rows.where(mine), revisits.where(mine), date))
+
+
+def rows_of_records(rows: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
+    """(value): the record of each row. ``revisits`` is of a size that ``_rounds`` has checked."""
+    few = F.broadcast(revisits.drop("file").distinct())  # a page may stand in several files
     same = rows["page_id"].eqNullSafe(few["page_id"]) & (rows["digest"] == few["digest"])
-    rows = rows.join(few.select("page_id", "digest", "first"), same, "left").select(rows["*"], few["first"], few["digest"].isNotNull().alias("again"))
+    rows = rows.join(few, same, "left").select(rows["*"], few["first"], few["digest"].isNotNull().alias("again"))
     nl = "\r\n"
-    uri = F.coalesce(F.url_encode("url"), F.lit(""))  # only where a url has characters that break a header
     url = F.when(F.col("url").isNull(), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
-    url = url.when(F.col("url").rlike(r"[\x00-\x20]"), uri).otherwise(F.col("url"))
+    url = url.otherwise(safe_url(F.col("url")))
     size = F.octet_length("body").cast("string")
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{nl}Content-Type: text/html; charset=UTF-8{nl}Content-Length: "), size, F.lit(END)
@@ -103,7 +154,7 @@ def write(
         name("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
         name("WARC-Date", F.lit(date)),
         name("WARC-Target-URI", url),
-        name("WARC-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit("null"))),
+        F.coalesce(name("WARC-Page-ID", F.url_encode(F.col("page_id").cast("string"))), F.lit("")),
         name("WARC-Payload-Digest", digest),
         F.when(
             F.col("again"),
@@ -115,9 +166,7 @@ def write(
         F.when(F.col("again"), F.lit("")).otherwise(F.lit(f"{nl}Content-Type: application/http; msgtype=response")),
         F.lit(f"{nl}Content-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    # readers take an archive as a whole, so its size is bounded by the mean size of a record
-    each = max(1, int(archive_bytes / ((mean or 0) + 600)))
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    return rows.select(F.concat(head, block).alias("value"))
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
@@ -152,32 +201,34 @@ def _parse(batches):
                         raise ValueError(f"{fields['WARC-Record-ID']}: the payload does not match its digest")
                 else:
                     digest, size = None, None
-                page = fields["WARC-Page-ID"]
-                rows.append((None if page == "null" else int(page), fields["WARC-Record-ID"], fields["WARC-Type"], fields.get("WARC-Refers-To"), fields["WARC-Target-URI"], digest, size))
+                page = fields.get("WARC-Page-ID")
+                rows.append((None if page is None else unquote_plus(page), fields["WARC-Record-ID"], fields["WARC-Type"], fields.get("WARC-Refers-To"), fields["WARC-Target-URI"], digest, size))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
-            types = [pa.int64(), *[pa.string()] * 5, pa.int64()]
+            types = [*[pa.string()] * 6, pa.int64()]
             names = ["page_id", "record_id", "record_type", "refers_to_record", "url", "payload_digest", "payload_bytes"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-RECORD = "page_id long, record_id string, record_type string, refers_to_record string, url string, payload_digest string, payload_bytes long"
+RECORD = "page_id string, record_id string, record_type string, refers_to_record string, url string, payload_digest string, payload_bytes long"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """The archives' records; digest and length are null for revisits."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD)
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD)
+    return found.withColumn("page_id", F.col("page_id").cast(id_type))
 
 
-def read_resolved(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+def read_resolved(spark: SparkSession, path: str, scratch: Scratch, id_type: str = "long") -> DataFrame:
     """The archives' records, revisits with digest, length and page of the response they refer to."""
-    found = scratch.table(read(spark, path), "records")
+    found = scratch.table(read(spark, path, id_type), "records")
     again = found.where("record_type = 'revisit'")
     # one row per response that is referred to: a hot response is joined by broadcast
     wanted = scratch.table(again.groupBy("refers_to_record").agg(F.count("*").alias("n")), "wanted")
     origin = found.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")
     )
-    origin = scratch.table(wanted.join(origin, "refers_to_record"), "origins")
+    # responses that repeat a page share their record id
+    origin = scratch.table(wanted.join(origin, "refers_to_record").distinct(), "origins")
     limit = max(HOT_ROWS, (wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // 1000)
     hot, cold = origin.where(F.col("n") >= limit).drop("n"), origin.where(F.col("n") < limit).drop("n")
     marked = again.join(F.broadcast(hot), "refers_to_record", "left")
@@ -186,5 +237,5 @@ def read_resolved(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame
     )
     cols = ["page_id", "record_id", "url", "record_type"]
     return found.where("record_type = 'response'").select(
-        *cols, "payload_bytes", "payload_digest", F.lit(None).cast("long").alias("refers_to")
+        *cols, "payload_bytes", "payload_digest", F.lit(None).cast(id_type).alias("refers_to")
     ).unionByName(joined.select(*cols, F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "refers_to"))
