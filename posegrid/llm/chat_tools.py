@@ -13,7 +13,10 @@ text ``{"tool_call_id", "content"}``. Other messages are left alone.
    (epoch, turn, place): epoch 0 is the order of the conversation, and only calls that a later
    call has to precede move to later epochs, round by round, until no edge is violated. A
    conversation's epochs can't exceed its backward references unless they form a cycle; calls
-   that do are marked ``cyclic``. No conversation is gathered in a task.
+   that do are marked ``cyclic``; a call that names itself is so from the start. Only conversations
+   with a backward reference take part; a round costs one join, and the rounds follow the longest chain
+   of references there (for a cycle of several calls: its backward references). No conversation is
+   gathered in a task.
 4. Each call becomes a canonical JSON record: compact, keys sorted at every depth.
 
 Defined results
@@ -94,12 +97,13 @@ def ordered(calls: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     if most.limit(1).count():
         # only conversations with a backward reference can move
         known = scratch.table(known.join(bounded(most), "conv").select("conv", "call_id", "ref", "back", "most"), "tangled")
-        epochs = scratch.table(known.select("conv", "call_id", F.lit(0).alias("epoch")).limit(0), "epochs")
+        own = known.where("call_id = ref").select("conv", "call_id", (F.col("most") + 1).cast("int").alias("epoch"))
+        epochs = scratch.table(own.distinct(), "epochs")
         while True:
             mine = known.join(epochs, ["conv", "call_id"], "left").withColumn("own", F.coalesce("epoch", F.lit(0))).drop("epoch")
             both = mine.join(epochs.select("conv", F.col("call_id").alias("ref"), "epoch"), ["conv", "ref"], "left")
             due = both.withColumn("due", F.coalesce("epoch", F.lit(0)) + F.col("back")).where("due > own AND own <= most")
-            moved = scratch.table(due.groupBy("conv", "call_id").agg(F.max("due").alias("epoch")), "moved")
+            moved = scratch.table(due.groupBy("conv", "call_id").agg(F.max("due").cast("int").alias("epoch")), "moved")
             if not moved.limit(1).count():
                 break
             epochs = scratch.table(epochs.unionByName(moved).groupBy("conv", "call_id").agg(F.max("epoch").alias("epoch")), "epochs")

@@ -34,25 +34,46 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 OP4 = r"""
-WITH u AS (SELECT conv_id, turn, text, 'c' || conv_id || '-' || turn AS call_id,
-    CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS ref FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+WITH RECURSIVE u AS (
+  SELECT DISTINCT conv_id, turn, text, (turn // 2) % 4 AS k,
+    'c' || conv_id || '-' || CASE WHEN (turn // 2) % 4 = 3 AND conv_id % 3 = 1 THEN turn - 2 ELSE turn END AS call_id,
+    'c' || conv_id || '-' || CASE WHEN (turn // 2) % 4 = 1 THEN turn + 2 WHEN (turn // 2) % 4 > 1 THEN turn - 4 WHEN conv_id % 5 = 3 AND turn < 2 THEN turn END AS ref
+  FROM conversations WHERE role = 'user'
+), f AS (
+  SELECT conv_id, call_id, min(turn) AS turn, count(*) AS n_calls, arg_min(text, turn) AS question, arg_min(k, turn) AS k,
+    arg_min({'r': ref}, turn).r AS ref FROM u GROUP BY conv_id, call_id
+), a AS (
+  SELECT conv_id, call_id, min(turn) AS turn, arg_min(text, turn) AS content, count(*) AS n_results
+  FROM (SELECT DISTINCT conv_id, turn, text, 'c' || conv_id || '-' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant') GROUP BY conv_id, call_id
+), d AS (SELECT f.conv_id, f.call_id, f.ref, (g.turn >= f.turn)::BIGINT AS back FROM f JOIN f g ON g.conv_id = f.conv_id AND g.call_id = f.ref),
+most AS (SELECT conv_id, sum(back)::BIGINT AS most FROM d GROUP BY conv_id HAVING sum(back) > 0),
+ep AS (
+  SELECT f.conv_id, f.call_id, CASE WHEN f.ref = f.call_id THEN most + 1 ELSE 0 END AS epoch FROM f JOIN most USING (conv_id)
+  UNION
+  SELECT d.conv_id, d.call_id, ep.epoch + d.back FROM ep JOIN d ON d.conv_id = ep.conv_id AND d.ref = ep.call_id WHERE d.ref <> d.call_id
+), eo AS (SELECT conv_id, call_id, max(epoch) AS epoch, max(epoch) > any_value(most) AS cyclic FROM ep JOIN most USING (conv_id) GROUP BY conv_id, call_id),
 j AS (
-  SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, u.turn AS turn, coalesce(u.call_id, a.call_id) AS call_id, a.turn AS result_turn,
-    u.text AS question, a.text AS content, u.call_id IS NOT NULL AS called, a.call_id IS NOT NULL AS answered, u.ref AS ref,
-    u.ref IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u v WHERE v.conv_id = u.conv_id AND v.call_id = u.ref) AS lost
-  FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.call_id = a.call_id
+  SELECT coalesce(f.conv_id, a.conv_id) AS conv_id, f.turn AS turn, coalesce(f.call_id, a.call_id) AS call_id, a.turn AS result_turn, n_calls, n_results,
+    f.question AS question, a.content AS content, f.call_id IS NOT NULL AS called, a.call_id IS NOT NULL AS answered, f.ref AS ref, f.k AS k,
+    f.ref IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f v WHERE v.conv_id = f.conv_id AND v.call_id = f.ref) AS lost
+  FROM f FULL JOIN a ON f.conv_id = a.conv_id AND f.call_id = a.call_id
+), e AS (
+  SELECT j.*, concat_ws('; ', CASE WHEN called AND conv_id % 4 = 1 AND k = 1 THEN 'mistyped n_chars' WHEN called AND conv_id % 4 = 2 AND k = 2 THEN 'missing n_chars' WHEN called AND conv_id % 4 = 3 AND k = 0 THEN 'unknown mood' END,
+    CASE WHEN called AND lost THEN 'no call ' || ref END) AS errors,
+    concat_ws(',', CASE WHEN ref IS NOT NULL THEN '"after":"${' || ref || '}"' END, CASE WHEN conv_id % 4 = 3 AND k = 0 THEN '"mood":"calm"' END,
+      CASE WHEN conv_id % 4 = 2 AND k = 2 THEN NULL WHEN conv_id % 4 = 1 AND k = 1 THEN '"n_chars":"' || length(question) || '"' ELSE '"n_chars":' || length(question) END,
+      '"text":' || to_json(question)::VARCHAR) AS body
+  FROM j
 )
-SELECT conv_id, turn, CASE WHEN called THEN 0 END AS place, call_id, CASE WHEN called THEN 'answer' END AS name,
-  CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status, result_turn, 0 AS epoch, false AS cyclic,
-  called AND NOT lost AS valid, CASE WHEN called AND lost THEN 'no call ' || ref ELSE '' END AS errors,
-  called::BIGINT AS n_calls, answered::BIGINT AS n_results,
-  '{"arguments":' || CASE WHEN NOT called THEN 'null' ELSE '{' || CASE WHEN ref IS NULL THEN '' ELSE '"after":"${' || ref || '}",' END
-    || '"n_chars":' || length(question) || ',"text":' || to_json(question)::VARCHAR || '}' END
-    || ',"call":' || to_json(call_id)::VARCHAR || ',"name":' || CASE WHEN called THEN '"answer"' ELSE 'null' END
+SELECT e.conv_id, turn, CASE WHEN called THEN 0 END AS place, e.call_id, CASE WHEN called THEN 'answer' END AS name,
+  CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status, result_turn,
+  CAST(coalesce(epoch, 0) AS INTEGER) AS epoch, coalesce(cyclic, false) AS cyclic,
+  called AND errors = '' AS valid, errors, coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_results, 0)::BIGINT AS n_results,
+  '{"arguments":' || CASE WHEN called THEN '{' || body || '}' ELSE 'null' END
+    || ',"call":' || to_json(e.call_id)::VARCHAR || ',"name":' || CASE WHEN called THEN '"answer"' ELSE 'null' END
     || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null')
     || ',"status":"' || CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END || '"}' AS record
-FROM j
+FROM e LEFT JOIN eo ON eo.conv_id = e.conv_id AND eo.call_id = e.call_id
 """
 
 OP7 = r"""

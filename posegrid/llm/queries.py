@@ -22,8 +22,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = Scratch(spark, "op2")
-    index = exact_dedup.DigestIndex(spark, scratch.path("index"))
+    index = exact_dedup.DigestIndex(spark, scratch.path("index"), exact_dedup.buckets_for(docs.count()), dict(docs.dtypes)["doc_id"])
     out = exact_dedup.deduplicate(docs, index, scratch)
+    index.close()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -32,33 +33,47 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = toxicity.train(docs, labels.where(fold != 2))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
-
-
-#: The tool that op4 takes each user turn for.
-TOOLS = [("answer", [("text", "string", True), ("n_chars", "integer", True), ("after", "string", False)])]
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
     """The conversations as tool calls: a user turn calls ``answer``, the turn after it is the result.
 
-    Each call names the user turn before its last answer; so the tables' plain chats have
-    identifiers to join, arguments to validate and references to order.
+    The tables' plain chats get identifiers to join, arguments to validate and references to order by a
+    rule on conversation and turn. Of each four calls of a conversation the second names the third, which
+    comes later, and the third and fourth name the first and second; in some conversations the first
+    names itself, the fourth repeats the third's identifier, or an argument is mistyped, missing or unknown.
     """
     call = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), turn)
-    after = F.when(F.col("turn") >= 2, F.concat(F.lit("${"), call(F.col("turn") - 2), F.lit("}")))
-    arguments = F.struct(F.col("text").alias("text"), F.length("text").alias("n_chars"), after.alias("after"))
-    asked = F.to_json(F.struct(F.array(F.struct(call(F.col("turn")).alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
-    told = F.to_json(F.struct(call(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    turn, conv = F.col("turn"), F.col("conv_id")
+    k = F.floor(turn / 2) % 4
+    own = call(F.when((k == 3) & (conv % 3 == 1), turn - 2).otherwise(turn))
+    ref = F.when(k == 1, turn + 2).when(k > 1, turn - 4).when((conv % 5 == 3) & (turn < 2), turn)
+    after = F.concat(F.lit("${"), call(ref), F.lit("}")).alias("after")
+    n = F.when(~((conv % 4 == 2) & (k == 2)), F.length("text"))
+    mood = F.when((conv % 4 == 3) & (k == 0), F.lit("calm")).alias("mood")
+
+    def says(n_chars):
+        arguments = F.struct(F.col("text").alias("text"), n_chars.alias("n_chars"), after, mood)
+        return F.to_json(F.struct(F.array(F.struct(own.alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"))).alias("tool_calls")))
+
+    asked = F.when((conv % 4 == 1) & (k == 1), says(n.cast("string"))).otherwise(says(n))
+    told = F.to_json(F.struct(call(turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
     return conversations.select(
         "conv_id", "turn", F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
         F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", told).otherwise(F.col("text")).alias("text"),
     )
 
 
+def tools(spark: SparkSession) -> DataFrame:
+    """The one tool that op4 takes each user turn for."""
+    params = [("text", "string", True), ("n_chars", "integer", True), ("after", "string", False)]
+    each = [F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(r).alias("required")) for n, t, r in params]
+    return spark.range(1).select(F.lit("answer").alias("tool"), F.array(*each).alias("params"))
+
+
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tools = spark.createDataFrame(TOOLS, "tool string, params array<struct<name: string, type: string, required: boolean>>")
-    return chat_tools.link(tool_messages(read(spark, sf_dir, "conversations")), tools, Scratch(spark, "op4"))
+    return chat_tools.link(tool_messages(read(spark, sf_dir, "conversations")), tools(spark), Scratch(spark, "op4"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
