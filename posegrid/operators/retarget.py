@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from posegrid.functions import names
 from posegrid.operators.constraints import violations
 from posegrid.operators.hierarchy import flat, np_conjugate, np_multiply, np_rotate, walk
+from posegrid.sources.clip import canonical
 
 UP = {"x": 0, "y": 1, "z": 2}
 
@@ -170,6 +172,12 @@ class Profile:
         out += [f"basis of joint {t} is no unit quaternion" for t, (_, b, _) in self.pairs.items() if abs(np.linalg.norm(b) - 1) > 1e-5]
         return out if self.scale > 0 else [*out, "scale is not positive"]
 
+    def document(self) -> dict:
+        """The profile as it is written, with the hash of its content."""
+        pairs = [[t, s, list(map(float, b)), w] for t, (s, b, w) in sorted(self.pairs.items())]
+        body = {"pairs": pairs, "scale": self.scale, "up": self.up, "source": self.source.names, "target": self.target.names}
+        return body | {"sha256": hashlib.sha256(canonical(body).encode()).hexdigest()}
+
     def run(self, rotations: np.ndarray, translations: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Local rotations and translations of the target for (F, J, 4) and (F, J, 3) of the source."""
         g, _ = walk(self.source.parents, rotations, translations)

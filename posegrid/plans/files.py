@@ -17,6 +17,7 @@ from posegrid.operators import constraints as C
 from posegrid.operators import hierarchy as H
 from posegrid.operators import ik
 from posegrid.operators.constraints import gate, verdict
+from posegrid.operators.gates import equivalence
 from posegrid.plans import views as V
 from posegrid.plans.motion import _MAP, OFFSETS, PARENTS, fk_sql, joints_of, moving_poses, profile
 from posegrid.plans.projections import S3
@@ -398,15 +399,10 @@ def src6(spark, sf):
     return npz.positions(files).groupBy("path").agg(F.count("*").alias("rows"), (F.max("joint") + 1).alias("joints"))
 
 
-def profile_document(p) -> dict:
-    body = {"pairs": [[t, s, list(map(float, b)), w] for t, (s, b, w) in sorted(p.pairs.items())], "scale": p.scale, "up": p.up, "source": p.source.names, "target": p.target.names}
-    return body | {"sha256": hashlib.sha256(canonical(body).encode()).hexdigest()}
-
-
 @query("SNK3", using("toy", "engine") + _MAP + "SELECT CAST(target AS INTEGER) AS target, CAST(source AS INTEGER) AS source, method, true AS unit FROM mp WHERE source IS NOT NULL")
 def snk3(spark, sf):
     """The pairs of a written profile, read back from its document."""
-    text = json.dumps(profile_document(profile(spark)))
+    text = json.dumps(profile(spark).document())
     rows = [(t, s, w, abs(float(np.linalg.norm(b)) - 1) < 1e-9) for t, s, b, w in json.loads(text)["pairs"]]
     return spark.createDataFrame(rows, "target int, source int, method string, unit boolean")
 
@@ -414,7 +410,7 @@ def snk3(spark, sf):
 @query("SRC7", "SELECT * FROM (VALUES ('whole', true), ('changed', false)) v(document, ok)")
 def src7(spark, sf):
     """A profile document is taken only with the hash of its content."""
-    d = profile_document(profile(spark))
+    d = profile(spark).document()
     docs = [("whole", json.dumps(d)), ("changed", json.dumps(d | {"scale": d["scale"] * 2}))]
 
     @F.pandas_udf("boolean")
@@ -530,28 +526,14 @@ def gate2(spark, sf):
 
     p = profile(spark)
     shared, mapped = R.core_of(p.source, p.target, p.pairs)
-    driven, height = sorted(p.pairs), p.target.height(1)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             if b.num_rows:
-                r, t = H.flat(b.column(1), 4), H.flat(b.column(2), 3)
-                local, moved = p.run(r, t)
-                g, at = H.walk(p.target.parents, local, moved)
-                ref = p.run_matrices(r)
-                e = np.eye(3)
-                have = np.stack([H.np_rotate(g, np.broadcast_to(e[k], (*g.shape[:-1], 3))) for k in range(3)], -1)
-                # the reference's joints: undriven ones stay with their parent
-                full, place = np.empty_like(have), np.empty_like(at)
-                for j, up in enumerate(p.target.parents):
-                    full[:, j] = ref[:, j] if j in p.pairs else full[:, up] if up >= 0 else np.eye(3)
-                    place[:, j] = moved[:, j] if up < 0 else place[:, up] + np.einsum("fij,fj->fi", full[:, up], moved[:, j])
-                off = np.degrees(np.linalg.norm((have - full)[:, driven], axis=(2, 3)) / 2**0.5).max(1)
-                far = np.linalg.norm(at - place, axis=-1).max(1) / height
-                norm = np.abs(np.linalg.norm(local, axis=-1) - 1).max(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(off), pa.array(far), pa.array(norm)], names=["path", "off", "far", "norm"])
+                found = [equivalence(p, H.flat(b.column(1).slice(i, 1), 4), H.flat(b.column(2).slice(i, 1), 3)) for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in zip(*found, strict=True))], names=["path", "off", "far", "norm"])
 
     runtime = decoded(spark, sf).select("path", "rotations", "translations").mapInArrow(run, "path string, off double, far double, norm double").groupBy("path").agg(
         F.max("off").alias("runtime_rotation_equivalence"), F.max("far").alias("runtime_global_equivalence"), F.max("norm").alias("runtime_quaternion_norm")
@@ -581,15 +563,23 @@ def show1(spark, sf):
     return rows.select("character", "clips", "frames", micro(F.col("ratio"), "ratio", 1e4), micro(F.col("rotation"), "rotation", 1e4), micro(F.col("factor"), "factor", 1e3), "passed")
 
 
-@query("AGT1", using("clip_frame") + "\nSELECT 'clip' || clip AS request_id, clip % 4 = 0 AS ok, CAST(CASE clip % 4 WHEN 0 THEN 0 WHEN 3 THEN 3 ELSE 2 END AS INTEGER) AS status, CASE WHEN clip % 4 = 0 THEN count(*) * 51 * 4 END AS raw_bytes FROM clip_frame GROUP BY clip")
+@query("AGT1", f"WITH c AS (SELECT label AS clip, count(*) AS n FROM embeddings GROUP BY 1)\nSELECT 'clip' || clip AS request_id, clip % 8 NOT IN (1, 2, 3, 7) AS ok, CAST(CASE clip % 8 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 7 THEN 2 ELSE 0 END AS INTEGER) AS status, CASE clip % 8 WHEN 0 THEN n * 51 * 4 WHEN 4 THEN 16 WHEN 5 THEN 16 WHEN 6 THEN 3 END AS number FROM c")
 def agt1(spark, sf):
-    """A batch of encode requests: an unknown operation, a missing argument and a broken text leave the good ones alone."""
-    k = F.regexp_extract("path", r"(\d+)", 1).cast("int") % 4
+    """A batch of requests: encode, profile, skeleton and gate; an unknown operation, a missing argument, a broken
+    text and a path out of the workspace leave the good ones alone."""
+    k = clip_number("path") % 8
     body = F.when(k == 3, F.lit("HIERARCHY broken")).otherwise(F.col("content"))
-    arguments = F.struct(body.alias("text"), F.when(k != 2, F.lit("low")).alias("preset"))
-    line = F.struct(F.lit("v1").alias("protocol"), F.col("path").alias("request_id"), F.when(k == 1, "explode").otherwise("encode").alias("operation"), arguments.alias("arguments"))
+    operation = F.when(k == 1, "explode").when(k == 4, "profile").when(k == 5, "runtime_skeleton").when(k == 6, "quality_gate_same").otherwise("encode")
+    text, low = F.when(~k.isin(4, 6), body), F.when(k == 6, "high").when((k != 2) & ~k.isin(4, 5), F.lit("low"))
+    output = F.when(k == 7, F.lit("../out.skac")).when(k == 0, F.lit("out/clip.skac"))
+    pair = F.when(k.isin(4, 6), F.col("content"))
+    arguments = F.struct(text.alias("text"), low.alias("preset"), output.alias("output"), pair.alias("source"), F.when(k == 4, F.col("content")).alias("target"))
+    line = F.struct(F.lit("v1").alias("protocol"), F.col("path").alias("request_id"), operation.alias("operation"), arguments.alias("arguments"))
     found = agent.run_batch(texts(spark, sf).select(F.to_json(line).alias("line")))
-    return found.select("request_id", "ok", "status", F.get_json_object("result", "$.raw_bytes").cast("long").alias("raw_bytes"))
+    got = lambda at: F.get_json_object("result", at).cast("long")
+    passed = F.size(F.filter(F.from_json("result", "checks array<struct<id: string, kind: string, passed: boolean>>")["checks"], lambda c: c["passed"] & (c["kind"] == "quality"))).cast("long")
+    number = F.coalesce(got("$.raw_bytes"), got("$.mapped"), got("$.joint_count"), F.when(F.get_json_object("result", "$.checks").isNotNull(), passed))
+    return found.select("request_id", "ok", "status", number.alias("number"))
 
 
 _TYPES = [".md", ".exe", ".svg", ".py", ".weird", ".txt"]
