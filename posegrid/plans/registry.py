@@ -68,7 +68,7 @@ VIEWS = {
     "clip_frame": "SELECT label AS clip, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS frame, embedding AS e FROM embeddings",
     "raw_quat": "SELECT clip, frame, CAST(j AS INTEGER) AS joint, e[4*j+1]::DOUBLE AS w0, e[4*j+2]::DOUBLE AS x0, e[4*j+3]::DOUBLE AS y0, e[4*j+4]::DOUBLE AS z0 FROM clip_frame, range(0, 16) t(j)",
     "pose_quat": "SELECT clip, frame, joint, w0/n AS qw, x0/n AS qx, y0/n AS qy, z0/n AS qz FROM (SELECT *, sqrt(w0*w0+x0*x0+y0*y0+z0*z0) AS n FROM raw_quat) WHERE n > 1e-12",
-    "quat_pair": "SELECT a.clip, a.frame, a.joint, a.qw AS aw, a.qx AS ax, a.qy AS ay, a.qz AS az, b.qw AS bw, b.qx AS bx, b.qy AS \"by\", b.qz AS bz FROM pose_quat a JOIN pose_quat b ON a.clip = b.clip AND a.joint = b.joint AND b.frame = a.frame + 1",
+    "quat_pair": "SELECT clip, frame, joint, aw, ax, ay, az, bw, bx, \"by\", bz FROM (SELECT clip, frame, joint, qw AS aw, qx AS ax, qy AS ay, qz AS az, lead(qw) OVER w AS bw, lead(qx) OVER w AS bx, lead(qy) OVER w AS \"by\", lead(qz) OVER w AS bz, lead(frame) OVER w AS later FROM pose_quat WINDOW w AS (PARTITION BY clip, joint ORDER BY frame)) WHERE later = frame + 1",
     "pose_position": "SELECT clip, frame, CAST(j AS INTEGER) AS joint, e[3*j+1]::DOUBLE AS px, e[3*j+2]::DOUBLE AS py, e[3*j+3]::DOUBLE AS pz FROM clip_frame, range(0, 21) t(j)",
     "pred_truth": "SELECT a.clip, a.frame, a.joint, a.px, a.py, a.pz, b.px AS tx, b.py AS ty, b.pz AS tz FROM pose_position a JOIN pose_position b ON b.clip = (a.clip + 1) % 10 AND a.frame = b.frame AND a.joint = b.joint",
     "scalar_track": "SELECT user_id AS clip, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, value AS v FROM events",

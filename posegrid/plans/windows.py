@@ -179,6 +179,14 @@ def mean_distance(height: float):
     return F.avg(F.sqrt(square("p", "t"))) / height * 1000
 
 
+def root_aligned(rows, keys=("clip", "frame"), root: int = 0):
+    """For rows of joints: predictions moved so that their root is where the truth's is; one window. Where a frame is a row, ``views.pred_truth`` does without."""
+    frame = Window.partitionBy(*keys)
+    at = lambda c: F.max(F.when(F.col("joint") == root, F.col(c))).over(frame)
+    moved = rows.withColumns({"off" + c: at("t" + c) - at("p" + c) for c in "xyz"})
+    return moved.withColumns({"p" + c: F.col("p" + c) + F.col("off" + c) for c in "xyz"}).drop(*["off" + c for c in "xyz"])
+
+
 @query("AGG1", PT + "\nSELECT clip, " + m(f"avg({SQ}/3)/(1.8*1.8)", "mse") + " FROM pred_truth GROUP BY clip")
 def agg1(spark, sf):
     return V.pred_truth(spark, sf).groupBy("clip").agg(micro(mse(1.8), "mse"))
@@ -263,7 +271,7 @@ SPLITS = [f"{c}_character_{s}_motion" for c in ("seen", "unseen") for s in ("see
 _AGG8 = "s AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in SPLITS) + ", ('overall'), ('never')) v(split)), g AS (SELECT coalesce(split, 'overall') AS split, count(*) AS n, avg(mse) AS mse, avg(geometry) AS geometry FROM eval_sample GROUP BY GROUPING SETS ((split), ()))"
 
 
-def split_report(rows, groups: list[str], metrics: list[str] = ["mse", "geometry"]):  # noqa: B006
+def split_report(rows, groups: list[str], metrics: tuple[str, ...] = ("mse", "geometry")):
     """Null-skipping means of every group and of all; groups without rows have a count of 0."""
     spark = rows.sparkSession
     means = [F.count("*").alias("n"), *[F.avg(c).alias(c) for c in metrics]]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from posegrid.functions import codes, names
 from posegrid.functions import quat as Q
-from posegrid.operators import agent, constraints, hierarchy, ik, keys, resample, retarget
+from posegrid.operators import agent, constraints, gates, hierarchy, ik, keys, resample, retarget
 from posegrid.plans import windows
 from posegrid.plans.registry import ENGINE, TOY, skeleton
 from posegrid.sources import bvh, container, npz
@@ -103,6 +103,15 @@ def test_container_rejects_damage():
         container.decode(data + b"x")
     with pytest.raises(ClipError):
         container.decode(b"X" + data[1:])
+    with pytest.raises(ClipError, match="version"):
+        container.decode(data[:10] + b"\x09" + data[11:])
+    document, raw = container.opened(data)
+    document["codec"]["rotation_key_counts"][0] -= 1
+    with pytest.raises(ClipError, match="declared"):
+        container.decode(container.framed(document, raw))
+    document["codec"]["rotation_key_counts"].pop()
+    with pytest.raises(ClipError, match="each track"):
+        container.decode(container.framed(document, raw))
     assert container.inspect(data)["frames"] == 4
 
 
@@ -129,6 +138,52 @@ def test_keys_hold_their_bound():
     assert 2 < len(k) < 120 and degrees(c.rotations[:, 1], keys.np_slerp(c.rotations[k[a], 1], c.rotations[k[b], 1], u)) <= 0.25 + 1e-9
 
 
+def brute_keys(values, bound, error):
+    """One segment after the other."""
+    n = len(values)
+    zero = np.zeros(n, int)
+    if n == 1 or (error(values, zero, zero, np.zeros(n), np.arange(n)) <= bound).all():
+        return [0]
+    kept, todo = {0, n - 1}, [(0, n - 1)]
+    while todo:
+        a, b = todo.pop()
+        at = np.arange(a + 1, b)
+        if len(at):
+            e = error(values, np.full(len(at), a), np.full(len(at), b), (at - a) / (b - a), at)
+            if e.max() > bound:
+                w = int(at[e.argmax()])
+                kept.add(w)
+                todo += [(a, w), (w, b)]
+    return sorted(kept)
+
+
+def test_keys_against_one_by_one():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 40, 300):
+        v = np.cumsum(rng.normal(size=(n, 1)), 0)
+        assert keys.reduce_track(v, 0.8, keys.scalar_error).tolist() == brute_keys(v, 0.8, keys.scalar_error)
+        q = unit(rng, n)
+        assert keys.reduce_track(q, 50.0, keys.rotation_error).tolist() == brute_keys(q, 50.0, keys.rotation_error)
+
+
+def test_tracks_across_batches(spark):
+    """Tracks that are cut by batches, tracks of null keys, and tracks of one frame."""
+    rng = np.random.default_rng(2)
+    rows = [(None if c == 0 else c, f, float(v)) for c in range(12) for f, v in enumerate(np.cumsum(rng.normal(size=1 if c == 5 else 50)))]
+    tracks = spark.createDataFrame(rows, "clip int, frame int, v double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        got = {(r["clip"], r["frame"]) for r in keys.reduce_scalar_tracks(tracks, ["clip"], 0.1).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = set()
+    for c in {r[0] for r in rows}:
+        v = np.array([[r[2]] for r in rows if r[0] == c])
+        want |= {(c, f) for f in brute_keys(v, max(np.ptp(v) * 0.1, 1e-12), keys.scalar_error)}
+    assert got == want
+
+
 def test_bits_round_trip():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 4, 77), rng.integers(0, 1 << 19, 77)
@@ -210,6 +265,36 @@ def test_profile_and_matrix_form(spark):
     assert np.nanmax(np.abs(e - want)) < 1e-12
 
 
+def test_pairs_on_the_driver_are_those_of_the_tables(spark):
+    rows = lambda n: spark.createDataFrame([(i, x, i - 1, 0.0, 1.0, 0.0) for i, x in enumerate(n)], "joint int, name string, parent int, ox double, oy double, oz double")
+    some = [
+        ["Hips", "Spine", "Spine1", "Spine2", "LeftShoulder", "LeftArm", "Head"], ["pelvis", "spine1", "spine3", "left_collar", "left_shoulder", "HEAD", "head_twist"],
+        ["root", "pelvis", "spine_01", "upperarm_l", "upperarm_twist_01_l"], ["x:Root", "rig:Hips", "Spine", "LeftArm", "LeftUpperArm", "Leftfuß"], ["a", "b", "c"],
+    ]
+    for s, t in zip(some, [*some[1:], some[0]], strict=True):
+        s, t = rows(s), rows(t)
+        a, b = retarget.Skeleton.of(s), retarget.Skeleton.of(t)
+        pairs = retarget.pairs_of(a, b)
+        assert pairs == {r["target"]: (r["source"], r["method"]) for r in retarget.mapping(s, t).collect()}
+    assert a.what == [r["what"] for r in retarget.described(s).orderBy("joint").collect()]
+    assert retarget.core_of(a, b, pairs) == tuple(retarget.coverage(s, t, retarget.mapping(s, t)).first())
+
+
+def test_heights_count_end_sites(spark):
+    rows = [(0, "b0", -1, 0.0, 0.0, 0.0, None, None, None), (1, "b1", 0, 1.0, 0.0, 0.0, 0.0, 2.0, 0.0)]
+    joints = spark.createDataFrame(rows, "joint int, name string, parent int, ox double, oy double, oz double, ex double, ey double, ez double")
+    assert hierarchy.skeleton_height(spark, joints).first()[0] == retarget.Skeleton.of(joints).height(1) == 2.0
+    flat = joints.drop("ex", "ey", "ez")
+    assert hierarchy.skeleton_height(spark, flat).first()[0] == retarget.Skeleton.of(flat).height(1) == 1.0
+
+
+def test_feet_are_averaged():
+    at = np.array([[[0, 0, 0], [5, 0, 0]], [[1, 0, 0], [5, 0, 0]], [[2, 0, 0], [6, 0, 0]], [[2, 0, 0], [9, 0, 0]]], float)
+    on = np.array([[True, False], [True, True], [True, True], [False, False]])
+    # the second foot touches down when the first has been held back by one already
+    assert np.allclose(retarget.lock_feet(on, at)[:, 0], [0, -0.5, -1.5, -1.2])
+
+
 def test_contact_lock_holds_and_decays(spark):
     rows = spark.createDataFrame([("c", i, a, v) for i, (a, v) in enumerate([(False, 0.0), (True, 1.0), (True, 3.0), (False, 3.0), (False, 3.0)])], "clip string, frame int, active boolean, v double")
     got = [r["correction"] for r in retarget.contact_lock(rows).orderBy("frame").collect()]
@@ -222,6 +307,80 @@ def test_times_wrap_and_hold(spark):
     assert got[(-0.25, 4)] == (2.75, 0.0) and got[(7.25, 4)] == (1.25, 3.0) and got[(3.0, 4)] == (0.0, 3.0) and got[(1.5, 1)] == (0.0, 0.0)
 
 
+def test_whole_poses_at_a_time(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [float(np.cos(0.4)), float(np.sin(0.4)), 0.0, 0.0]
+    poses = spark.createDataFrame([("c", 0, [*a, *a], [0.0, 0.0, 0.0, 1.0, 0.0, 0.0]), ("c", 1, [*b, *[-v for v in b]], [2.0, 0.0, 0.0, 1.0, 0.0, 0.0])], "clip string, frame int, rotations array<double>, translations array<double>")
+    asked = spark.createDataFrame([(1, "c", 0.5, 2), (2, "c", 1.25, 2), (3, "c", -3.0, 2)], "sample int, clip string, t double, n int")
+    hold = {r["sample"]: r for r in resample.sample_poses(asked, poses, 1.0, False).collect()}
+    half = [np.cos(0.2), np.sin(0.2), 0, 0]
+    assert np.allclose(hold[1]["rotations"], [*half, *half]) and np.allclose(hold[1]["translations"], [1, 0, 0, 1, 0, 0])
+    assert np.allclose(np.abs(hold[2]["rotations"]), np.abs([*b, *b])) and np.allclose(hold[3]["rotations"], [*a, *a])
+    loop = {r["sample"]: r for r in resample.sample_poses(asked, poses, 1.0, True).collect()}
+    assert np.allclose(loop[2]["rotations"][:4], [np.cos(0.1), np.sin(0.1), 0, 0])
+    assert [r["sample"] for r in resample.sample_frames(asked.withColumn("frame", F.col("sample") - 1), poses).orderBy("sample").collect()] == [1, 2]
+
+
+def test_names_fold_and_strip(spark):
+    n = ["a:\u00a0 Leftfu\u00df\t", "\ufb01nger", "HIPS "]
+    df = spark.createDataFrame([(x,) for x in n], "n string")
+    assert [r[0] for r in df.select(names.plain_name(F.col("n"))).collect()] == [names.plain(x) for x in n] == ["leftfuss", "finger", "hips"]
+    assert [r[0] for r in df.select(names.local_name(F.col("n"))).collect()] == [x.rsplit(":", 1)[-1].strip() for x in n]
+
+
+def test_paths_stay_inside(spark):
+    paths = ["a/b", "../a", "a/../../b", "a/./../b", "/a", "", "a/..", None]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    want = [True, False, False, True, False, False, True, False]
+    assert [r[0] for r in df.select(constraints.inside_workspace(F.col("p"))).collect()] == want == [agent.inside(p) for p in paths]
+
+
+def test_release_findings(spark):
+    files = [("docs/a.md", b"fine"), ("docs/b.exe", b"secret"), ("docs/c.py", b"\xff\xfe"), ("docs/d.svg", b"<SCRIPT>"), ("x/e.txt", b"see /home/me, my Secret."), ("docs/f", b""), ("docs/g.md", b"x" * 100), ("docs/secretary.md", b"secretary")]
+    got = {r[0] for r in constraints.release_findings(spark.createDataFrame(files, "path string, content binary"), ["docs"], ["secret"], 50).collect()}
+    assert got == {
+        "forbidden file type: docs/b.exe", "text file is not valid UTF-8: docs/c.py", "active or external SVG content: docs/d.svg", "unexpected top-level entry: x",
+        "denied term in file: x/e.txt", "absolute path in file: x/e.txt", "unreviewed file type: docs/f", "file is too large: docs/g.md",
+    }
+
+
+def test_penetration_counts_must_be_sound(spark, tmp_path):
+    for discount in (0.5, -0.1):
+        spark.createDataFrame([(1, 0.05, 0.0), (1, discount, 0.0)], "l_orderkey long, l_discount double, l_tax double").write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+        with pytest.raises(Exception, match="penetrated"):
+            windows.agg5(spark, str(tmp_path)).collect()
+
+
+def test_gates():
+    clip = sample(40)
+    high, low = container.PRESETS["high"], container.PRESETS["low"]
+    report = gates.judge(clip, None, high)
+    assert report["case"] == "same_character" and [c["id"] for c in report["checks"]] == ["codec_rotation", "codec_global_position", "codec_quaternion_norm", "decode_realtime_factor"]
+    assert all(c["passed"] for c in report["checks"] if c["kind"] == "quality")
+    assert not gates.judge(clip, None, low, limits=gates.Limits.of(high))["passed"]
+    big = Rig(["Root", "Chest", "Arm"], clip.rig.parents, clip.rig.offsets * 2, clip.rig.channels, clip.rig.ends)
+    other = gates.judge(clip, big, high, samples=5)
+    assert other["case"] == "different_character" and len(other["checks"]) == 10
+    assert {c["id"]: c["passed"] for c in other["checks"]}["runtime_rotation_equivalence"]
+    with pytest.raises(ValueError, match="equal skeletons"):
+        gates.judge(clip, big, high, "same_character")
+    assert gates.svg(other).count("<text") == 11
+
+
+def test_agent_operations():
+    import json
+
+    ask = lambda operation, **k: agent.answer(json.dumps({"protocol": "v1", "operation": operation, "arguments": k}))
+    assert sorted(agent.OPERATIONS) == ["capabilities", "decode", "encode", "inspect", "profile", "quality_gate", "quality_gate_different", "quality_gate_same", "runtime_skeleton"]
+    profile = json.loads(ask("profile", source=BVH, target=BVH)[3])
+    assert profile["mapped"] == 2 and len(profile["profile"]["sha256"]) == 64
+    assert json.loads(ask("runtime_skeleton", text=BVH)[3])["joint_count"] == 2
+    for name, more in (("quality_gate", {}), ("quality_gate_same", {}), ("quality_gate_different", {"target": BVH})):
+        _, ok, status, result, _ = ask(name, source=BVH, preset="high", **more)
+        assert ok and status == 0 and "<svg" in json.loads(result)["visual"]
+    assert ask("encode", text=BVH, preset="low", output="a/../../b")[2] == 2 and ask("encode", text=BVH, preset="low", output="a/b")[2] == 0
+    assert ask("quality_gate_different", source=BVH, preset="high")[2] == 2
+
+
 def test_names(spark):
     n = ["mixamorig:Hips", "a:b: Spine2 ", "LeftArm_twist", "ball_r"]
     df = spark.createDataFrame([(x,) for x in n], "n string")
