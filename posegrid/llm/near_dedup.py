@@ -16,9 +16,10 @@ Steps, all on tables in the shared folder:
    every survivor whose ends are still in different components. So a member of a large group is
    read once or twice, not once for each partner.
 5. In large buckets with members of different components all pairs across components are still
-   due. They are compared in blocks of at most BLOCK x BLOCK members (never a bucket in one task),
-   each pair in the first band that it shares: a length bound, the same sequential test, then the
-   full sets. Only links that join two components leave a block.
+   due. They are compared in blocks of about BLOCK x BLOCK members (never a bucket in one task).
+   Each pair is taken in the first band that it shares: a length bound, the same sequential test,
+   then the sets of 64-bit shingle hashes. Only links that join two components leave a block, and each
+   of them is confirmed on the texts.
 6. Rows get the component of their class, and components that share an id are joined.
 
 Two documents of similarity s share a band with probability 1 - (1 - s^rows)^bands: with the
@@ -28,9 +29,11 @@ defaults a pair of exactly 0.8 is missed with probability 3e-6, and the test mis
 Defined results
   * null, empty and wordless texts have no shingles and are linked with nothing;
   * a text of fewer words than a shingle is one shingle, its whole sequence of words;
-  * equal sets are always linked, whatever the order of words in the texts;
+  * equal sets are always linked, whatever the order of words in the texts; sets are equal if the
+    128-bit digests of their 64-bit shingle hashes are;
   * rows that repeat an id are one document with the union of links; its set is that of each row;
-  * rows without an id are kept, alone and unlinked, with a null component;
+  * rows without an id are kept, one by one and unlinked, with a null component;
+  * ids may be of any type that has an order;
   * without documents the result is empty; further columns are ignored.
 """
 
@@ -44,13 +47,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posegrid.llm._common import Scratch, bounded
+from posegrid.llm._common import Scratch, bounded, free_name
 from posegrid.llm.components import components
 
 BANDS, ROWS = 32, 5
 BATCH = 32
 SMALL = 8
 BLOCK = 512
+HUB = 256
 MISS = 1e-6
 SEED = 20240229
 
@@ -196,14 +200,14 @@ def sketch(docs: DataFrame, scratch: Scratch, size: int, bands: int, rows: int)
                     names=["doc", "d", "n", "cls", "sig", "keys"],
                 )
 
-    each = plain(docs).mapInArrow(run, "doc long, d binary, n long, cls binary, sig binary, keys array<long>")
+    each = plain(docs).mapInArrow(run, f"doc {dict(docs.dtypes)['doc_id']}, d binary, n long, cls binary, sig binary, keys array<long>")
     return scratch.table(each.withColumn("id", F.monotonically_increasing_id()), "sketch")
 
 
 def plain(docs: DataFrame) -> DataFrame:
     """(doc, text, d): what tells rows apart, whatever their order."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("d"))
+    return docs.select(F.col("doc_id").alias("doc"), text.alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("d"))
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, limits: list[int], threshold: int, scratch: Scratch) -> DataFrame:
@@ -229,62 +233,102 @@ def likely(pairs: DataFrame, sigs: DataFrame, limits: list[int], threshold: int,
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach ``threshold`` percent."""
-    n = pairs.count()
-    side = lambda c: bounded(pairs, n).join(texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")), c)
-    both = side("a").join(side("b"), ["a", "b"])
+    """The pairs (a, b) whose full shingle sets reach ``threshold`` percent.
+
+    Rows stream in the order (a, block, b): first a's text, then those of its partners. So a text goes
+    once with each of its pairs as b, once for each block as a, and the partners of a hub are spread
+    over blocks of about HUB of them.
+    """
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int")
+    placed = scratch.table(pairs.join(bounded(hubs), "a", "left").select("a", block.alias("block"), "b"), "placed")
+    n = placed.count()
+    partner = bounded(placed, n).join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "block", "b", "text")
+    hub = bounded(placed.select("a", "block").distinct(), n).join(texts.select(F.col("id").alias("a"), "text"), "a")
+    rows = partner.unionByName(hub.select("a", "block", F.lit(None).cast("long").alias("b"), "text"))
 
     def run(batches):
-        last, mine = None, set()
-        for p in batches:
-            keep = []
-            for a, s, t in zip(p["a"], p["text_a"], p["text_b"], strict=True):
-                if a != last:
-                    last, mine = a, shingles(s, size)
-                other = shingles(t, size)
-                both = len(mine & other)
-                keep.append(100 * both >= threshold * (len(mine) + len(other) - both))
-            yield p.loc[keep, ["a", "b"]]
+        import pyarrow as pa
 
-    return scratch.table(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"), "verified")
+        now, mine = None, set()
+        for batch in batches:
+            found = []
+            for a, block, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                this = shingles(text.as_py(), size)
+                if b is None:
+                    now, mine = (a, block), this
+                    continue
+                if now != (a, block):
+                    raise ValueError(f"the text of {a} is missing")
+                both = len(mine & this)
+                if 100 * both >= threshold * (len(mine) + len(this) - both):
+                    found.append((a, b))
+            cols = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+    ordered = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return scratch.table(ordered.mapInArrow(run, "a long, b long"), "verified")
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (key, id, root, main, n_main, n_rest, ...) dealt to blocks (key, kind, lo, hi), with ``side``.
+
+    Members of a bucket's largest component (``main``) meet the others (kind 0), the others each other (kind 1);
+    so where one component holds nearly all of a bucket, its members travel once and not once for each block.
+    """
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    of = lambda c: F.pmod(F.xxhash64("id"), parts(c)).cast("int")
+    block = lambda kind, lo, hi, side: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    every = lambda c: F.sequence(F.lit(0), parts(c) - 1)
+    mine = F.transform(every("n_rest"), lambda j: block(0, of("n_main"), j, F.lit(0)))
+    rest = F.concat(
+        F.transform(every("n_main"), lambda i: block(0, i, of("n_rest"), F.lit(1))),
+        F.transform(every("n_rest"), lambda j: block(1, F.least(of("n_rest"), j), F.greatest(of("n_rest"), j), of("n_rest"))),
+    )
+    placed = members.withColumn("p", F.explode(F.when(F.col("root") == F.col("main"), mine).otherwise(rest)))
+    return placed.drop("main", "n_main", "n_rest").select("p.*", *[c for c in placed.columns if c not in ("p", "main", "n_main", "n_rest")])
+
+
+def candidates(x: pd.DataFrame, y: pd.DataFrame, half: bool, limits: list[int], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, m): places in x and y of the pairs across components that the length bound and the sequential test leave."""
+    table = lambda f: np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1)
+    sx, sy = table(x), table(y)
+    ix, iy, rx, ry, nx, ny = (f[c].to_numpy() for c in ("id", "root", "n") for f in (x, y))
+    found = [np.zeros((3, 0), np.int64)]
+    for at in range(0, len(x), 64):
+        part = slice(at, at + 64)
+        near = 100 * np.minimum(nx[part, None], ny) >= threshold * np.maximum(nx[part, None], ny)
+        i, j = np.nonzero((rx[part, None] != ry[None, :]) & near)
+        i = i + at
+        if half:
+            i, j = i[ix[i] < iy[j]], j[ix[i] < iy[j]]
+        m = np.zeros(len(i), np.int64)
+        for k, least in enumerate(limits):
+            cols = slice(k * BATCH, (k + 1) * BATCH)
+            m += (sx[i, cols] == sy[j, cols]).sum(1)
+            i, j, m = i[m >= least], j[m >= least], m[m >= least]
+        found.append(np.stack([i, j, m]))
+    i, j, m = np.concatenate(found, axis=1)
+    return i, j, m
+
+
+def sides(p: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The two sides of a block, and whether they are the same members."""
+    kind, lo, hi = (p[c].iloc[0] for c in ("kind", "lo", "hi"))
+    x, y = (p[p["side"] == k].sort_values("id") for k in ((lo, hi) if kind else (0, 1)))
+    return x, y, bool(kind and lo == hi)
 
 
 def block_links(members: DataFrame, limits: list[int], threshold: int) -> DataFrame:
-    """(a, b): links that join components in large buckets, compared block by block.
+    """(a, b): links that join components in large buckets, compared block by block on the sets of hashes.
 
-    ``members``: key, n, id, root, sig, keys, set. A pair is compared in the first band that it
-    shares; likelier pairs come first, and a pair whose ends a block has joined already is skipped.
+    A pair is compared in the first band that it shares; likelier pairs come first, and a pair whose
+    ends a block has joined already is skipped.
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # a member of block i takes part in the block pairs (i, j) and (j, i)
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        key, lo, hi = p["key"].iloc[0], p["lo"].iloc[0], p["hi"].iloc[0]
-        x, y = (p[p["own"] == k].sort_values("id") for k in (lo, hi))
-        table = lambda f, c, kind: np.frombuffer(b"".join(f[c]), kind).reshape(len(f), -1)
-        sx, sy = table(x, "sig", np.uint8), table(y, "sig", np.uint8)
-        kx, ky = (np.array(f["keys"].tolist(), np.int64).reshape(len(f), -1) for f in (x, y))
-        ix, iy, rx, ry = x["id"].to_numpy(), y["id"].to_numpy(), x["root"].to_numpy(), y["root"].to_numpy()
-        nx, ny = (f["set"].map(len).to_numpy() for f in (x, y))
-        found = []
-        for at in range(0, len(x), 64):
-            part = slice(at, at + 64)
-            near = 100 * np.minimum(nx[part, None], ny) >= threshold * np.maximum(nx[part, None], ny)
-            i, j = np.nonzero((rx[part, None] != ry[None, :]) & near)
-            i = i + at
-            if lo == hi:
-                i, j = i[ix[i] < iy[j]], j[ix[i] < iy[j]]
-            m = np.zeros(len(i), np.int64)
-            for k, least in enumerate(limits):
-                cols = slice(k * BATCH, (k + 1) * BATCH)
-                m += (sx[i, cols] == sy[j, cols]).sum(1)
-                i, j, m = i[m >= least], j[m >= least], m[m >= least]
-            if len(i):
-                first = kx[i][np.arange(len(i)), (kx[i] == ky[j]).argmax(1)] == key
-                found.append(np.stack([m[first], i[first], j[first]]))
+        key = p["key"].iloc[0]
+        x, y, half = sides(p)
         links, up, sets = [], {}, {}
 
         def root(r):
@@ -297,8 +341,12 @@ def block_links(members: DataFrame, limits: list[int], threshold: int) -> DataFr
                 sets[side, k] = set(np.frombuffer(f["set"].iat[k], np.uint64).tolist())
             return sets[side, k]
 
-        if found:
-            m, i, j = np.concatenate(found, axis=1)
+        if len(x) and len(y):
+            i, j, m = candidates(x, y, half, limits, threshold)
+            kx, ky = (np.array(f["keys"].tolist(), np.int64).reshape(len(f), -1) for f in (x, y))
+            first = kx[i][np.arange(len(i)), (kx[i] == ky[j]).argmax(1)] == key
+            i, j, m = i[first], j[first], m[first]
+            ix, iy, rx, ry = x["id"].to_numpy(), y["id"].to_numpy(), x["root"].to_numpy(), y["root"].to_numpy()
             order = np.argsort(-m, kind="stable")
             for i, j in zip(i[order].tolist(), j[order].tolist(), strict=True):
                 r, t = root(rx[i]), root(ry[j])
@@ -310,7 +358,14 @@ def block_links(members: DataFrame, limits: list[int], threshold: int) -> DataFr
                         links.append((min(ix[i], iy[j]), max(ix[i], iy[j])))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return placed.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return in_blocks(members).groupBy("key", "kind", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+
+
+def with_main(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` (key, id, root) of the buckets that hold several components, with main, n_main and n_rest."""
+    each = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    mixed = each.select("key", F.col("top.root").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_rest")).where("n_rest > 0")
+    return scratch.table(rows.join(bounded(scratch.table(mixed, "mixed")), "key"), "in-buckets")
 
 
 def shingle_table(texts: DataFrame, size: int, scratch: Scratch) -> DataFrame:
@@ -361,23 +416,27 @@ def linked(
     two = two.select("a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
     pairs = scratch.table(star.unionByName(two).distinct(), "pairs")
     left = likely(pairs, sigs, limits, threshold, scratch)
+    scratch.drop(pairs, buckets)
 
     involved = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = scratch.table(texts_of(docs, known, involved, again, scratch), "texts")
-    best = left.groupBy("b").agg(F.min(F.struct((-F.col("m")).alias("m"), "a")).alias("x")).select("x.a", "b")
+    best = scratch.table(left.groupBy("b").agg(F.min(F.struct((-F.col("m")).alias("m"), "a")).alias("x")).select("x.a", "b"), "best")
     labels = components(verified(best, texts, size, threshold, scratch), scratch)
     rest = between(left.join(best, ["a", "b"], "left_anti"), labels, scratch)
     if rest.limit(1).count():
         labels = components(verified(rest, texts, size, threshold, scratch), scratch, labels)
+    scratch.drop(texts, left, best)
 
-    large = with_roots(inside.where(F.col("n") > small).select("key", "n", "id"), labels)
-    mixed = large.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    # buckets of one component are done
-    large = scratch.table(large.join(bounded(mixed), "key").select("key", "n", "id", "root"), "mixed")
+    large = with_roots(inside.where(F.col("n") > small).select("key", "id"), labels)
+    large = with_main(large, scratch)  # buckets of one component are done
+    scratch.drop(inside)
     if large.limit(1).count():
-        whole = shingle_table(texts_of(docs, known, large.select("id").distinct(), again, scratch), size, scratch)
-        due = large.join(reps.select("id", "sig", "keys"), "id").join(whole, "id")
-        labels = components(scratch.table(block_links(due, limits, threshold), "links"), scratch, labels)
+        texts = scratch.table(texts_of(docs, known, large.select("id").distinct(), again, scratch), "texts")
+        due = large.join(reps.select("id", "n", "sig", "keys"), "id").join(shingle_table(texts, size, scratch), "id")
+        links = scratch.table(block_links(due, limits, threshold), "links")
+        # blocks compare hashed sets; what they found is confirmed on the texts
+        labels = components(verified(links, texts, size, threshold, scratch), scratch, labels)
+        scratch.drop(texts, links)
 
     # classes: members have the root of their representative
     of_rep = bounded(labels.select(F.col("id").alias("rep"), "root"))
@@ -397,11 +456,15 @@ def linked(
 def near_duplicates(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id of its component), kept."""
     placed = linked(docs, scratch, **options)
-    each = scratch.table(placed.groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("root").alias("root")), "each")
+    named = placed.where("doc IS NOT NULL").groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("root").alias("root"))
+    each = scratch.table(named, "each")
     first = scratch.table(each.groupBy("root").agg(F.min("doc").alias("least"), F.count("*").alias("ids")).where("ids > 1"), "first")
     out = each.join(bounded(first.select("root", "least")), "root", "left").select(
         F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("least", "doc").alias("component_id")
     )
+    # rows without an id: one row each
+    alone = placed.where("doc IS NULL").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
+    out = out.unionByName(alone)
     return scratch.table(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
 
 
@@ -427,6 +490,6 @@ def between(pairs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 
 def keep_one(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component."""
-    gone = near_duplicates(docs, scratch, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"))
-    return docs.join(bounded(gone), F.col("doc_id") == F.col("__id"), "left_anti")
-
+    name = free_name(docs.columns, "gone_id")
+    gone = near_duplicates(docs, scratch, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name))
+    return docs.join(bounded(gone), docs["doc_id"] == F.col(name), "left_anti")
