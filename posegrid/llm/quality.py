@@ -4,10 +4,14 @@
    repeated words, lengths of words, lines and sentences. The metadata view has language, source and
    the stated length. Both are written as one small table.
 2. Each view's classifier is fitted on a sample of at most ``max_rows`` labelled rows. For
-   ``rounds`` rounds both score all documents without a label, in the sample or not; the surest ``exchange`` documents of each
-   label that a view is sure enough of become pseudo-labels of the other view. A view teaches
-   only if the calibration fold shows that it ranks better than chance by ``skill``.
-3. A fold of the labels that no fit has seen calibrates each view (Platt) and their combination.
+   ``rounds`` rounds both score all documents without a label, in the sample or not; of those that a view
+   is sure enough of, the surest ``exchange`` of each label become pseudo-labels of the other view, one
+   for each distinct pair of views, so that copies count once. Pseudo-labels of earlier rounds
+   stay. A view teaches only if the calibration fold shows that it ranks
+   better than chance by ``skill``. ``Quality.exchanged`` tells how many each view passed on.
+3. A fold of the labels that no fit has seen calibrates each view (Platt) and their combination. The
+   weights of the combination are not negative: a view that would count against itself gets none, and
+   the other is fitted again by itself.
 4. Every document gets both calibrated scores and the combined one.
 
 Defined results
@@ -27,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posegrid.llm._common import Scratch, bounded
 from posegrid.llm._fit import logistic, sigmoid
@@ -86,26 +91,28 @@ def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.nd
     return out
 
 
-def measured(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, x, m): both views of every row."""
+def measured(docs: DataFrame, scratch: Scratch, kept: list[str] | None = None) -> DataFrame:
+    """(doc_id, x, m): both views of every row; with ``kept`` also these columns of the row, as a struct ``row``."""
     have = set(docs.columns)
     of = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
-    rows = docs.select("doc_id", of("text", "string"), of("lang", "string"), of("source", "string"), of("n_chars", "long"))
+    row = [] if kept is None else [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")]
+    rows = docs.select("doc_id", of("text", "string"), of("lang", "string"), of("source", "string"), of("n_chars", "long"), *row)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, text, lang, source, n = (batch.column(i) for i in range(5))
+            ids, text, lang, source, n, *row = batch.columns
             x = [content(t.as_py()).astype(np.float32) for t in text]
             m = [metadata(*(v.as_py() for v in r)).astype(np.float32) for r in zip(lang, source, n, strict=True)]
             # most of the metadata view is zero: the places of its ones are kept
             short = [[float(r[0]), *map(float, np.flatnonzero(r[1:]))] for r in m]
             kind = pa.list_(pa.float32())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(x, kind), pa.array(short, kind)], names=["doc_id", "x", "m"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(x, kind), pa.array(short, kind), *row], names=names)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return scratch.table(rows.mapInArrow(run, f"doc_id {kind}, x array<float>, m array<float>"), "views")
+    fields = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("x array<float>, m array<float>").fields, *rows.schema.fields[5:]])
+    names = fields.names
+    return scratch.table(rows.mapInArrow(run, fields), "views")
 
 
 def _wide(m: np.ndarray) -> np.ndarray:
@@ -154,6 +161,7 @@ class Quality:
 
     def __init__(self, text: View | None, meta: View | None, mix: tuple[float, float, float]):
         self.text, self.meta, self.mix = text, meta, mix
+        self.exchanged: dict[str, int] = {}
 
     def score(self, x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.text is None:
@@ -178,11 +186,11 @@ def _scored(views: DataFrame, model: Quality) -> DataFrame:
 
 def train(views: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int = MAX_ROWS, rounds: int = ROUNDS, exchange: int = EXCHANGE) -> Quality:
     """``labels``: doc_id, quality. ``max_rows`` labelled rows and 4 * rounds * exchange others are collected at most."""
-    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
-    order = F.xxhash64(F.col("__id").cast("string"), F.lit("quality"))
-    sample = F.broadcast(labels.orderBy(order, "__id").limit(max_rows))
+    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("labelled")).agg(F.min(F.col("quality").cast("int")).alias("y"))
+    order = F.xxhash64(F.col("labelled").cast("string"), F.lit("quality"))
+    sample = F.broadcast(labels.orderBy(order, "labelled").limit(max_rows))
     # one row an id: an id that many rows share must not reach the driver with all of them
-    of_id = views.join(sample, F.col("doc_id") == F.col("__id")).groupBy("doc_id").agg(F.min(F.struct("x", "m", "y")).alias("r"))
+    of_id = views.join(sample, F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(F.min(F.struct("x", "m", "y")).alias("r"))
     rows = of_id.select("doc_id", "r.*").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     nobody = Quality(None, None, (0, 0, 0))
@@ -195,7 +203,7 @@ def train(views: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
     if min(y[~kept].sum(), (~kept).sum() - y[~kept].sum(), y[kept].sum(), kept.sum() - y[kept].sum()) < 1:
         return nobody
     # no labelled document, in the sample or not, may get a pseudo-label; written once for all rounds
-    unlabelled = scratch.table(views.join(bounded(labels.select("__id")), F.col("doc_id") == F.col("__id"), "left_anti"), "unlabelled")
+    unlabelled = scratch.table(views.join(bounded(labels.select("labelled")), F.col("doc_id") == F.col("labelled"), "left_anti"), "unlabelled")
     more: dict[str, tuple[list, list]] = {"text": ([], []), "meta": ([], [])}
 
     def fitted() -> Quality:
@@ -209,30 +217,43 @@ def train(views: DataFrame, labels: DataFrame, scratch: Scratch, max_rows: int =
         return Quality(one(x, "text", x.shape[1]), one(m, "meta", 1), (1, 0, 0))
 
     model = fitted()
+    exchanged = {"text": 0, "meta": 0}
     for _ in range(rounds):
         skill = {"text": auc(model.text.logit(x[kept]), y[kept]), "meta": auc(model.meta.logit(m[kept]), y[kept])}
-        scored = unlabelled.select(F.xxhash64("doc_id", "x").alias("h"), "doc_id", "x", "m")
         teachers = [t for t in ("text", "meta") if skill[t] > SKILL]
         if not teachers:
             break
-        mine = scratch.table(_exchangeable(scored, model), "scores")
-        fresh: dict[str, tuple[list, list]] = {"text": ([], []), "meta": ([], [])}
+        mine = scratch.table(_exchangeable(unlabelled.select("x", "m"), model).dropDuplicates(["x", "m"]), "scores")
         for teacher in teachers:
             pupil = "meta" if teacher == "text" else "text"
             p = F.col(f"{teacher}_score")
+            rows, given = [], []
             for label, sure, by in ((1, p >= SURE, p.desc()), (0, p <= 1 - SURE, p.asc())):
-                for r in mine.where(sure).orderBy(by, "h").limit(exchange).collect():
-                    fresh[pupil][0].append(r["x"] if pupil == "text" else _wide(np.array([r["m"]], np.float64))[0])
-                    fresh[pupil][1].append(float(label))
-        more = fresh
+                for r in mine.where(sure).orderBy(by, F.xxhash64("x", "m"), "x", "m").limit(exchange).collect():
+                    rows.append(r["x"] if pupil == "text" else _wide(np.array([r["m"]], np.float64))[0])
+                    given.append(float(label))
+            more[pupil] = _together(more[pupil], (rows, given))
+            exchanged[teacher] = len(more[pupil][0])
         model = fitted()
     a, b = model.text.logit(x[kept]), model.meta.logit(m[kept])
-    # how much each calibrated view adds to the other; a view that would count against itself is left out
+    # how much each calibrated view adds to the other
     w, c = logistic(np.stack([a, b], 1), y[kept], ridge=1.0)
-    model.mix = (float(w[0]), float(w[1]), float(c)) if min(w) >= 0 else (1.0, 0.0, 0.0) if auc(a, y[kept]) >= auc(b, y[kept]) else (0.0, 1.0, 0.0)
+    if min(w) < 0:
+        only = 0 if auc(a, y[kept]) >= auc(b, y[kept]) else 1
+        v, c = logistic((a, b)[only][:, None], y[kept], ridge=1.0)
+        w = np.zeros(2)
+        w[only] = max(0.0, v[0])
+    model.mix = (float(w[0]), float(w[1]), float(c))
+    model.exchanged = exchanged
     return model
 
 
+def _together(old: tuple[list, list], new: tuple[list, list]) -> tuple[list, list]:
+    """Pseudo-labels of earlier rounds and of this one; what a row is taken for now counts."""
+    found = {np.asarray(r, np.float32).tobytes(): (r, v) for rows, labels in (old, new) for r, v in zip(rows, labels, strict=True)}
+    return [r for r, _ in found.values()], [v for _, v in found.values()]
+
+
 def _exchangeable(rows: DataFrame, model: Quality) -> DataFrame:
     """Rows with both scores; only those that a view is sure of."""
 
@@ -240,14 +261,14 @@ def _exchangeable(rows: DataFrame, model: Quality) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            m = _wide(np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1))
+            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            m = _wide(np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1))
             a, b, _ = model.score(x, m)
             sure = pa.array((np.maximum(a, 1 - a) >= SURE) | (np.maximum(b, 1 - b) >= SURE))
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b)], names=["h", "x", "m", "text_score", "meta_score"])
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b)], names=["x", "m", "text_score", "meta_score"])
             yield out.filter(sure)
 
-    return rows.select("h", "x", "m").mapInArrow(run, "h long, x array<float>, m array<float>, text_score double, meta_score double")
+    return rows.select("x", "m").mapInArrow(run, "x array<float>, m array<float>, text_score double, meta_score double")
 
 
 def assess(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = 0.5, **options) -> DataFrame:
@@ -258,17 +279,12 @@ def assess(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: floa
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with their columns as they are."""
-    views = measured(docs, scratch)
-    model = train(views, labels, scratch, **options)
-    # the text of each row is measured again, so rows that share an id are judged one by one
-    have = set(docs.columns)
-    of = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t)
+    # each row is written once beside its views, so that no text is measured twice and rows that share an id are judged one by one
+    views = measured(docs, scratch, docs.columns)
+    model = train(views.select("doc_id", "x", "m"), labels, scratch, **options)
 
     @F.pandas_udf("double")
-    def judged(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        x = np.stack([content(t).astype(np.float32) for t in text]).astype(np.float64)
-        m = np.stack([metadata(a, b, None if c is None or c != c else int(c)).astype(np.float32) for a, b, c in zip(lang, source, n_chars, strict=True)])
-        return pd.Series(model.score(x, m.astype(np.float64))[2])
-
-    return docs.where(judged(of("text", "string"), of("lang", "string"), of("source", "string"), of("n_chars", "long")) >= threshold)
+    def judged(x: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_list()).astype(np.float64), _wide(np.stack(m.to_list()).astype(np.float64)))[2])
 
+    return views.where(judged("x", "m") >= threshold).select("row.*")
