@@ -78,7 +78,7 @@ def test_decontaminate_brute_force(spark, scratch, limit):
 def test_decontaminate_edges(spark, scratch):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.contamination(docs(spark, EDGES), none, scratch).collect()
-    assert len(got) == 10 and not any(r["contaminated"] for r in got)
+    assert len(got) == len(EDGES) and not any(r["contaminated"] for r in got)
     assert decontaminate.contamination(docs(spark, []), none, scratch).count() == 0
     one = spark.createDataFrame([(None, "a b c")], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.contamination(docs(spark, EDGES), one, scratch).collect()}
@@ -96,6 +96,18 @@ def test_keep_clean_judges_rows(spark, scratch):
     assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept.collect()) == [(0, len(clean(1000))), (5, len(clean(100))), (6, 0), (6, len(rows[4][1]))]
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_decontaminate_rows_of_one_id(spark, scratch, limit):
+    """Rows without an id, and rows that share one, are documents of their own."""
+    window = " ".join(f"w{i}" for i in range(13))
+    rows = [(None, window), (None, "clean words"), (None, window + " x"), (5, window), (5, "clean"), (5, window), (None, None)]
+    bench = spark.createDataFrame([(1, window)], "item_id long, text string")
+    got = decontaminate.contamination(docs(spark, rows), bench, scratch, limit=limit).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["contaminated"]) for r in got) == [
+        (0, 0, 0, False), (0, 2, 0, False), (0, 13, 13, True), (0, 14, 13, True), (5, 1, 0, False), (5, 13, 13, True), (5, 13, 13, True),
+    ]
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 
 
@@ -106,12 +118,43 @@ def test_exact_dedup_edges(spark, scratch):
     for (i, _), r in got.items():
         by.setdefault(i, []).append(r)
     assert by[1][0]["keep_id"] == 1 and by[2][0]["keep_id"] == 1 and by[3][0]["keep_id"] == 3
-    assert by[5][0]["kept"] and by[6][0]["keep_id"] == 5 and by[6][0]["group_size"] == 4 and by[6][0]["rows"] == 2 and not by[None][0]["kept"]
+    assert by[5][0]["kept"] and by[6][0]["keep_id"] == 5 and by[6][0]["group_size"] == 4 and not by[None][0]["kept"]
+    whole = exact_dedup.deduplicate(docs(spark, EDGES), exact_dedup.DigestIndex(spark, scratch.path("index"), 4), scratch)
+    assert whole.count() == len(EDGES) and whole.where("doc_id = 6").count() == 2
     kept = exact_dedup.keep_first(docs(spark, [*EDGES, (10, "again"), (10, "again"), (11, "again")]), scratch)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 5, 7, 8, 9, 10)]
     assert exact_dedup.keep_first(docs(spark, []), scratch).count() == 0
 
 
+def test_exact_dedup_ids_of_any_type(spark, scratch):
+    named = spark.createDataFrame([("b", "x  y"), ("a", "x y"), ("c", "z"), (None, "z")], "doc_id string, text string")
+    index = exact_dedup.DigestIndex(spark, scratch.path("index"), 4, "string")
+    got = sorted((r["doc_id"] or "", r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(named, index, scratch).collect())
+    assert got == [("", "c", False), ("a", "a", True), ("b", "a", False), ("c", "c", True)]
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_first(named, scratch).collect()) == ["a", "c"]
+
+
+def test_index_is_read_in_order(spark, scratch):
+    """A bucket of one file is neither shuffled nor sorted again."""
+    index = exact_dedup.DigestIndex(spark, scratch.path("index"), 4)
+    exact_dedup.deduplicate(docs(spark, [(i, f"text {i}") for i in range(200)]), index, scratch)
+    fresh = exact_dedup.digests(docs(spark, [(i, f"text {i}") for i in range(150, 260)])).groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+    with exact_dedup.in_bucket_order(spark):
+        left = index.unseen(fresh)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert left.count() == 60
+    scan = plan.index("Scan parquet spark_catalog")
+    above = plan[plan.index("SortMergeJoin") : scan].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    side, at = [], 10**6
+    for line in reversed(above):
+        if depth(line) < at:
+            at = depth(line)
+            side.append(line)
+    assert not any("Sort [" in x or "Exchange" in x for x in side), plan
+    assert exact_dedup.buckets_for(0) == exact_dedup.LEAST_BUCKETS and exact_dedup.buckets_for(10**9) == 512
+
+
 def test_index_persists(spark, scratch):
     where = scratch.path("index")
     first = exact_dedup.DigestIndex(spark, where, 4)
@@ -149,6 +192,36 @@ def test_toxicity_counterfactual():
     assert bad > 0.6 > good and 0 <= empty <= 1
 
 
+def brute_toxicity(model, text):
+    """The score by the definition of the features, from the fitted weights."""
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    z = model.bias
+    for f, w in model.weights.items():
+        plain = f.removesuffix("+")
+        match = (lambda x: x.startswith(plain[:-1]) and len(x) > len(plain) - 1) if plain.endswith("*") else (lambda x: x == plain)  # noqa: B023
+        n = sum(map(match, found))
+        z += w * (n > 1 if f.endswith("+") else n > 0)
+    return 1 / (1 + np.exp(-min(35, max(-35, z))))
+
+
+def test_toxicity_brute_force(spark):
+    """All rows of the query against a plain scorer, and the fit on executors against the fit of texts at hand."""
+    found, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = toxicity.train(found, labels.where(fold != 2))
+    assert model.weights
+    text = {r["doc_id"]: r["text"] for r in found.collect()}
+    got = queries.op3_toxicity(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    for r in got:
+        want = brute_toxicity(model, text[r["doc_id"]])
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert r["predicted"] == int(r["score"] >= 0.3)
+    mine = sorted((r["doc_id"], r["toxic"]) for r in labels.where(fold != 2).collect() if r["doc_id"] in text and r["toxic"] is not None)
+    local = toxicity.Toxicity.fit([text[i] for i, _ in mine], [v for _, v in mine], sum(v for _, v in mine) / len(mine))
+    assert set(local.weights) == set(model.weights) and all(abs(local.weights[f] - w) < 1e-5 for f, w in model.weights.items())
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, None), (2, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs(spark, EDGES), labels)
@@ -243,6 +316,30 @@ def test_packing(spark, scratch):
     assert len(got) == 6 and sum(r["count"] for r in got) == 600 and max(r["count"] for r in got) < 300
 
 
+def test_packing_spreads_equal_rows(spark, scratch):
+    same = [(None, "w w w")] * 900
+    got = packing.pack(docs(spark, same), scratch, buckets=1, budget=30, shard=100).groupBy("shard").count().collect()
+    assert len(got) == 9 and sum(r["count"] for r in got) == 900 and max(r["count"] for r in got) < 200
+
+
+def test_packing_query_brute_force(spark):
+    """Units, optimal boundaries and whole batches of the query, from texts alone."""
+    got = queries.op5_packing(spark, SF).toPandas()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    units = {i: len(re.findall(r"[^ \t\n\x0b\f\r]+", t or "")) for i, t in texts.items()}
+    assert dict(zip(got["doc_id"], got["n_units"], strict=True)) == units
+    sizes = sorted(set(units.values()))
+    count = [sum(v == s for v in units.values()) for s in sizes]
+    # quadratic programme over exact lengths
+    best, least = [0] + [10**12] * len(sizes), None
+    for _ in range(packing.BUCKETS):
+        best = [0] + [min(best[j], *(best[i] + sum((sizes[j - 1] - sizes[k]) * count[k] for k in range(i, j)) for i in range(j))) for j in range(1, len(sizes) + 1)]
+        least = best[-1]
+    assert (got["boundary"] - got["n_units"]).sum() == least
+    size = got.groupby(["bucket", "shard", "batch"]).agg(n=("slot", "size"), top=("slot", "max"), b=("boundary", "max"))
+    assert (size["n"] == size["top"] + 1).all() and ((size["n"] * size["b"] <= packing.BUDGET) | (size["n"] == 1)).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 5000, 10**9 + 7])
 def test_bins_hold_their_lengths(spark, n):
     top = spark.range(1).select(packing.bin_of(F.lit(n).cast("long"))).first()[0]
@@ -258,8 +355,12 @@ def test_elias_fano(values):
     back, end = token_files.EliasFano.frombuffer(b"xx" + e.tobytes(), 2, len(values), e.low_bits, values[-1])
     assert end == 2 + len(e.tobytes()) and back.values().tolist() == values
     assert [back.select(i) for i in range(len(values))] == values
+    for a, b in [(0, 0), (0, 1), (0, len(values)), (len(values) // 2, len(values)), (len(values) // 3, len(values) // 2), (min(256, len(values)), min(512, len(values)))]:
+        assert back.select_range(a, b).tolist() == values[a:b]
     with pytest.raises(IndexError):
         back.select(len(values))
+    with pytest.raises(IndexError):
+        back.select_range(0, len(values) + 1)
 
 
 def test_elias_fano_is_small():
@@ -313,31 +414,70 @@ def test_url_lists(spark, scratch):
     got = {r["page_id"]: (r["blocked"], r["rule"]) for r in url_lists.judge(captures, entries, scratch).collect()}
     assert got == {1: (False, None), 2: (True, "example.org"), 3: (False, "a.example.org/x"), 4: (True, "example.org"), 5: (False, None), 6: (True, "b.org"), 7: (False, None), 8: (False, None), 9: (False, None), 10: (False, None), 11: (False, None)}
     assert url_lists.judge(captures, entries.limit(0), scratch).where("blocked").count() == 0
+    six = spark.createDataFrame([(1, "http://[::1]:80/a"), (2, "http://u@[2001:DB8::2]/"), (3, "http://com/")], "page_id long, url string").withColumn("fetched", F.lit("2024-05-01").cast("timestamp"))
+    rules = spark.createDataFrame([("[2001:db8::2]", "block"), ("com", "block"), ("a.b.org", "block")], "pattern string, action string").withColumn("since", F.lit("2024-01-01").cast("timestamp"))
+    assert {r["page_id"]: (r["host"], r["blocked"]) for r in url_lists.judge(six, rules, scratch).collect()} == {1: ("[::1]", False), 2: ("[2001:db8::2]", True), 3: ("com", True)}
     assert url_lists.judge(captures.limit(0), entries, scratch).count() == 0
 
 
 # --- 8 ------------------------------------------------------------------------------------------
 
 
-def test_warc(spark, scratch):
+@pytest.mark.parametrize("limit", [10**6, 0, 100])
+def test_warc(spark, scratch, limit):
     long = "<html>" + "é\r\n\r\n" * 50
-    rows = [(3, "http://a/", long, 0), (1, "http://b/ c", long, 0), (2, None, None, 0), (4, "u", "short", 0), (5, "u", "short", 0), (5, "u", "short", 0), (6, "u\r\nx", "WARC/1.1\r\n\r\n" + long, 0), (None, "n", long, 0), (7, "u", "x" * 3_000_000, 0)]
+    rows = [(3, "http://a/", long, 0), (1, "http://b/ c", long, 0), (2, None, None, 0), (4, "u", "short", 0), (5, "u", "short", 0), (5, "u", "short", 0), (6, "u\r\nx", "WARC/1.1\r\n\r\n" + long, 0), (None, "n", long, 0), (7, "u", "x" * 3_000_000, 0), (3, "http://other/?q=%20ü", long, 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, first int")
     where = scratch.path("warc")
-    warc.write(pages, where, scratch)
-    got = {r["page_id"]: r for r in warc.read_resolved(spark, where, scratch).collect()}
-    assert len(got) == 8 and got[1]["record_type"] == "response" and got[3]["record_type"] == got[None]["record_type"] == "revisit" and got[3]["refers_to"] == 1
+    warc.write(pages, where, scratch, limit=limit)
+    all_ = warc.read_resolved(spark, where, scratch).collect()
+    got = {r["page_id"]: r for r in all_}
+    assert len(all_) == len(rows) and got[1]["record_type"] == "response" and got[3]["record_type"] == got[None]["record_type"] == "revisit" and got[3]["refers_to"] == 1
     for i, _, body, _ in rows:
         body = (body or "").encode()
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(body), hashlib.sha256(body).hexdigest())
-    assert got[4]["record_type"] == got[5]["record_type"] == "response" and got[2]["url"] == "urn:page:2" and "\r" not in got[6]["url"]
+    assert got[4]["record_type"] == got[5]["record_type"] == "response"
+    assert sorted(r["url"] for r in all_) == sorted(["http://a/", "http://b/%20c", "urn:page:2", "u", "u", "u", "u%0D%0Ax", "n", "u", "http://other/?q=%20ü"])
     size = spark.read.format("binaryFile").load(where).agg(F.sum("length")).first()[0]
-    assert size < 3_000_000 + 2 * len(long.encode()) + 8 * 700
+    assert size < 3_000_000 + 2 * len(long.encode()) + 10 * 700
     empty = scratch.path("empty")
-    warc.write(pages.limit(0), empty, scratch)
+    warc.write(pages.limit(0), empty, scratch, limit=limit)
     assert warc.read_resolved(spark, empty, scratch).count() == 0
 
 
+def test_warc_repeated_first_page(spark, scratch):
+    """Rows that repeat the smallest id are all responses, and a revisit still refers to one page; ids may be strings."""
+    body = "same payload " * 20
+    rows = [("a b", "u1", body), ("a b", "u2", body), ("a b", "u2", body), ("z", "u3", body)]
+    where = scratch.path("warc")
+    warc.write(spark.createDataFrame(rows, "page_id string, url string, html string"), where, scratch)
+    got = sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"] or "") for r in warc.read_resolved(spark, where, scratch, "string").collect())
+    assert got == [("a b", "u1", "response", ""), ("a b", "u2", "response", ""), ("a b", "u2", "response", ""), ("z", "u3", "revisit", "a b")]
+
+
+def test_warc_never_shuffles_payloads(spark, scratch, monkeypatch):
+    """In each round, however many there are, no exchange carries a payload."""
+    made = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page " * 40), F.col("id") % 90).alias("html"))
+    pages = scratch.table(made.repartition(8), "pages")  # eight files
+    seen, real = [], warc.rows_of_records
+
+    def spy(rows, revisits, date):
+        out = real(rows, revisits, date)
+        seen.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(warc, "rows_of_records", spy)
+    for limit, rounds in ((warc.BROADCAST_BYTES, 1), (5000, 3), (1500, 9)):
+        seen.clear()
+        where = scratch.path("warc")
+        warc.write(pages, where, scratch, limit=limit)
+        got = warc.read_resolved(spark, where, scratch)
+        assert len(seen) >= rounds and got.count() == 400 and got.where("record_type = 'revisit' AND refers_to = page_id % 90").count() == 310
+        for plan in seen:
+            assert not any("html" in x or "body" in x for x in plan.splitlines() if "Exchange" in x) and "SortMergeJoin" not in plan
+            assert plan.count("BroadcastHashJoin") == 1
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 
 
@@ -390,11 +530,33 @@ def test_near_dedup_blocks(spark, scratch, monkeypatch):
     assert got == brute_components(rows, 2)
 
 
+def test_near_dedup_mixed_buckets(spark, scratch, monkeypatch):
+    """Several families and strays in the same buckets: blocks of the largest component and of the others."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "HUB", 4)
+    rng = random.Random(9)
+    base = family(rng, 1, 40, 0)[0].split()
+    texts = []
+    for k in range(150):
+        t = list(base)
+        for _ in range(rng.randint(0, 7)):
+            t[rng.randrange(len(t))] = f"e{rng.randint(0, 4 if k % 2 else 10**6)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts, 1))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows), scratch, size=2, small=2).collect()}
+    want = brute_components(rows, 2)
+    assert len({c for _, c in want.values()}) > 5 and got == want
+
+
 def test_near_dedup_edges(spark, scratch):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs(spark, EDGES), scratch, size=2).collect()}
     assert got[1]["n_shingles"] == got[2]["n_shingles"] == got[3]["n_shingles"] == 0 and got[6]["component_id"] == 5 and got[7]["n_shingles"] == 1
     assert got[None]["component_id"] is None and got[None]["kept"]
     assert near_dedup.near_duplicates(docs(spark, []), scratch).count() == 0
+    null = near_dedup.near_duplicates(docs(spark, [(None, "a b c d"), (None, "a b c d"), (None, "x"), (1, "a b c d"), (None, None)]), scratch, size=2).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in null) == [(0, 0, 0, True), (0, 1, 0, True), (0, 3, 0, True), (0, 3, 0, True), (1, 3, 1, True)]
+    names = spark.createDataFrame([("b", "a b c"), ("a", "a b c"), ("c", "q r s")], "doc_id string, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(names, scratch, size=2).collect()} == {"a": "a", "b": "a", "c": "c"}
     kept = near_dedup.keep_one(docs(spark, EDGES), scratch, size=2)
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 7, 8, 9] and kept.where("doc_id IS NULL").count() == 1
 
@@ -441,10 +603,13 @@ def test_posterior_bound_keeps_the_threshold():
     assert left.mean() > 0.999 and limits == sorted(limits) and limits[-1] > 90
 
 
-def test_components_of_a_path(spark, scratch):
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_components_of_a_path(spark, scratch, one_task):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (102, 101), (7, 7)]
-    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
-    assert got == {**{i: 1 for i in range(2, 61)}, 101: 100, 102: 100}
+    found = components(spark.createDataFrame(edges, "a long, b long"), scratch, one_task=one_task)
+    assert {r["id"]: r["root"] for r in found.collect()} == {**{i: 1 for i in range(2, 61)}, 101: 100, 102: 100}
+    more = components(spark.createDataFrame([(60, 102), (200, 201)], "a long, b long"), scratch, found, one_task=one_task)
+    assert {r["id"]: r["root"] for r in more.collect()} == {**{i: 1 for i in range(2, 61)}, 100: 1, 101: 1, 102: 1, 201: 200}
 
 
 # --- 10 -----------------------------------------------------------------------------------------
@@ -459,6 +624,31 @@ def test_quality_held_out(spark, scratch):
     assert (got["rejected"] & (got["quality"] == 1)).mean() < 0.02 and (got["rejected"] & (got["quality"] == 0)).sum() > 0.8 * (got["quality"] == 0).sum()
 
 
+def test_quality_brute_force(spark, scratch):
+    """All rows of the query, and what the filter keeps, against a plain scorer from the fitted views."""
+    found, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(quality.measured(found, scratch), labels, scratch)
+
+    def logit(view, values):
+        z = view.b
+        cols = [float(v > c) for v, cuts in zip(values, view.cuts, strict=False) for c in cuts] + list(values[view.real :])
+        z += sum(w * c for w, c in zip(view.w, cols, strict=True))
+        return view.scale[0] * z + view.scale[1]
+
+    want = {}
+    for r in found.collect():
+        a = logit(model.text, [float(np.float32(v)) for v in quality.content(r["text"])])
+        b = logit(model.meta, [float(np.float32(v)) for v in quality.metadata(r["lang"], r["source"], r["n_chars"])])
+        want[r["doc_id"]] = [1 / (1 + np.exp(-z)) for z in (a, b, model.mix[0] * a + model.mix[1] * b + model.mix[2])]
+    got = queries.op10_quality(spark, SF).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert [r["text_score"], r["meta_score"], r["score"]] == pytest.approx(want[r["doc_id"]], abs=1e-9) and r["rejected"] == (r["score"] < 0.5)
+    kept = quality.keep_good(found, labels, scratch)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, s in want.items() if s[2] >= 0.5)
+    assert min(model.mix[:2]) >= 0 and set(model.exchanged) == {"text", "meta"}
+
+
 def test_quality_edges(spark, scratch):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     got = quality.assess(docs(spark, EDGES), none, scratch).collect()
@@ -489,6 +679,23 @@ def test_quality_labels_beyond_the_sample(spark, scratch, monkeypatch):
     assert scored == [21]
 
 
+CLASH = "doc_id long, text string, __id long, __d string, __digest string, __row int, y int, gone_id long, gone_digest string, text_digest string, least_row string, row long, labelled int, digest string, tags map<string,int>"
+
+
+def test_filters_keep_clashing_columns(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "one text of its own"), (2, "one  text of its own"), (3, None), (3, None), (None, "null id"), (4, "x " * 40), (5, "BUY!! $$$")]
+    given = spark.createDataFrame([(i, t, 1, "d", "e", 2, 3, 4, "g", "h", "l", 5, 6, "i", {"k": 1}) for i, t in rows], CLASH)
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, given, SF)
+        assert out.columns == given.columns and out.dtypes == given.dtypes
+        assert {(r["__id"], r["__d"], r["y"], r["row"], r["tags"]["k"]) for r in out.collect()} == {(1, "d", 3, 5, 1)}
+    assert sorted((r["doc_id"] or 0) for r in pipeline.STAGES[1][1](spark, given, SF).collect()) == [0, 1, 3, 4, 5]
+    labels = spark.createDataFrame([(1, 0), (5, 1)], "doc_id long, toxic int")
+    assert toxicity.score(given, toxicity.train(given, labels)).count() == len(rows)
+    assert packing.pack(given, Scratch(spark, "t")).count() == len(rows)
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
@@ -501,6 +708,9 @@ def test_pipeline_stages(spark):
         assert after.columns == rows.columns and after.subtract(before).count() == 0
         seen.append((name, before, after))
         before = after
+    name, x, y = seen[0]
+    judged = {r["doc_id"]: r["rejected"] for r in quality.assess(x, spark.read.parquet(f"{SF}/labels.parquet"), Scratch(spark, "judged")).collect()}
+    assert sorted(r["doc_id"] for r in y.collect()) == sorted(i for i, bad in judged.items() if not bad)
     _, x, y = seen[1]
     texts = [re.sub(r"[ \t\n\x0b\f\r]+", " ", r["text"] or "") for r in x.orderBy("doc_id").collect()]
     assert [re.sub(r"[ \t\n\x0b\f\r]+", " ", r["text"] or "") for r in y.orderBy("doc_id").collect()] == list(dict.fromkeys(texts))
@@ -512,3 +722,18 @@ def test_pipeline_stages(spark):
     want = brute_contamination([(r["doc_id"], r["text"]) for r in x.collect()], bench)
     assert sorted(r["doc_id"] for r in y.collect()) == sorted(i for i, w in want.items() if not w[3])
     assert pipeline.run(spark, SF).count() == before.count()
+
+
+def test_scratch_needs_a_shared_folder():
+    class Unset:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Cluster:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: Unset)
+
+    class Session:
+        sparkContext, conf = Cluster, Unset
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        Scratch(Session, "x")
